@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import chats, decontam, mixing, quality, shards, urls
+from lexigrid.llm import chats, decontam, embeddings, lm, mixing, quality, shards, urls
 from lexigrid.llm.common import work_dir
 
 # The url rules.
@@ -41,6 +41,14 @@ def op3_sharding(spark: SparkSession, d: str) -> DataFrame:
     return store.read().select("doc_id", F.length("text").cast("bigint").alias("chars"), "shard")
 
 
+def op5_lm(spark: SparkSession, d: str) -> DataFrame:
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    docs = table(spark, d, "documents").select("doc_id", held.alias("held_out"), "text")
+    model = lm.train(docs.where(~F.col("held_out")))
+    out = lm.score(docs, model)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.contamination(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
 
@@ -49,6 +57,10 @@ def op7_urls(spark: SparkSession, d: str) -> DataFrame:
     return urls.judge(table(spark, d, "pages"), RULES).drop("component")
 
 
+def op8_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, d, "embeddings"))
+
+
 def op9_chats(spark: SparkSession, d: str) -> DataFrame:
     return chats.format_chats(table(spark, d, "conversations"))
 
@@ -101,7 +113,7 @@ select conv_id, n_turns, case when pre then 'prefix' when conv_id = least then '
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_sharding, op6_decontamination, op7_urls, op9_chats)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_sharding, op5_lm, op6_decontamination, op7_urls, op8_embeddings, op9_chats)}
 
 
 def oracle_sql() -> dict[str, str]:
