@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import chats, decontam, embeddings, lm, mixing, quality, shards, urls
+from lexigrid.llm import chats, decontam, embeddings, lm, mixing, quality, shards, simjoin, suffix, urls
 from lexigrid.llm.common import work_dir
 
 # The url rules.
@@ -41,6 +41,10 @@ def op3_sharding(spark: SparkSession, d: str) -> DataFrame:
     return store.read().select("doc_id", F.length("text").cast("bigint").alias("chars"), "shard")
 
 
+def op4_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return simjoin.similar_groups(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op5_lm(spark: SparkSession, d: str) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
     docs = table(spark, d, "documents").select("doc_id", held.alias("held_out"), "text")
@@ -65,6 +69,10 @@ def op9_chats(spark: SparkSession, d: str) -> DataFrame:
     return chats.format_chats(table(spark, d, "conversations"))
 
 
+def op10_suffix(spark: SparkSession, d: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+
+
 SQL = {
     "op2_mixing": r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
@@ -113,7 +121,7 @@ select conv_id, n_turns, case when pre then 'prefix' when conv_id = least then '
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_sharding, op5_lm, op6_decontamination, op7_urls, op8_embeddings, op9_chats)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_sharding, op4_jaccard, op5_lm, op6_decontamination, op7_urls, op8_embeddings, op9_chats, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
