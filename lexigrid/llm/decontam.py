@@ -43,7 +43,12 @@ def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     return rows.select("item", "at", F.least(F.size(w), F.lit(width)).alias("len"), F.slice(w, F.col("at") + 1, width).alias("words")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
+def row_key() -> Column:
+    """What a row of documents is known by: a hash of its id and text."""
+    return F.xxhash64(F.col("doc_id").isNull().cast("int"), F.col("doc_id"), F.col("text"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, keep_row: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     1. Every shingle (3 words) of the documents is looked up among those of
@@ -61,7 +66,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     item with an empty id; items with one id are one item. Only the benchmark
     is broadcast, if it has few enough shingles; else both joins shuffle."""
     scratch = Scratch(docs.sparkSession, "decontam")
-    row = F.xxhash64(F.col("doc_id").isNull().cast("int"), F.col("doc_id"), F.col("text")).alias("row")
+    row = row_key().alias("row")
     windows = scratch.save(item_windows(benchmark, width))
     size = F.least("len", F.lit(SHINGLE))
     parts = None
@@ -106,6 +111,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     out = counted.join(bounded(found, BROADCAST_SHINGLES), "row", "left")
     hit, names = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"),
+        "doc_id", *["row"] * keep_row, "n_words", hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), ((hit > 0) & (hit * share >= F.col("n_words"))).alias("contaminated"),
     )

@@ -188,18 +188,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
     return fit(x, bags[order] if len(order) else bags, y[order] if len(order) else y)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score: the model's probability of label 1 for the whole text.
-    Null and empty texts are scored as one passage of zeros. Map-only."""
+def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """docs (its text only if asked for) with score: the model's probability of
+    label 1 for the whole text. Null and empty texts are scored as one passage
+    of zeros. Map-only."""
     names = docs.columns
+    told = [c for c in names if keep_text or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 x, bags = encode(*flat(b.column(b.schema.get_field_index("text"))))
                 y = model.forward(x.astype(np.float64), bags)["y"]
-                kept = [b.column(i) for i, c in enumerate(names) if c != "text"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(y, pa.float64())], [*[c for c in names if c != "text"], "score"])
+                kept = [b.column(b.schema.get_field_index(c)) for c in told]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(y, pa.float64())], [*told, "score"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.drop("text").dtypes)
+    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*told).dtypes)
     return docs.mapInArrow(run, f"{fields}, score double")

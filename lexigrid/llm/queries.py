@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexigrid.llm import chats, decontam, embeddings, lm, mixing, quality, shards, simjoin, suffix, urls
 from lexigrid.llm.common import work_dir
 
@@ -121,8 +122,8 @@ select conv_id, n_turns, case when pre then 'prefix' when conv_id = least then '
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_sharding, op4_jaccard, op5_lm, op6_decontamination, op7_urls, op8_embeddings, op9_chats, op10_suffix)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality, op2_mixing, op3_sharding, op4_jaccard, op5_lm, op6_decontamination, op7_urls, op8_embeddings, op9_chats, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

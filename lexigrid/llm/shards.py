@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 64 << 20, fanout: int = 4):
         self.spark, self.root, self.target, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
+        self.schema = None  # of the last arrival
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,13 +71,18 @@ class ShardStore:
         """Manifest rows of the files below a folder; reads footers only."""
         size = F.col("bytes").cast("double")
         tier = F.greatest(F.lit(0), F.floor(F.log(size / (self.target / self.fanout**4)) / F.log(F.lit(float(self.fanout))))).cast("int")
-        files = self.spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+        try:
+            written = self.spark.read.parquet(path)
+        except AnalysisException:  # no partition, so no file
+            return self.spark.createDataFrame([], MANIFEST)
+        files = written.groupBy(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("rows"))
         return files.select("shard", "bytes", "rows", tier.alias("tier"))
 
     def append(self, df: DataFrame) -> int:
         """Each partition of the arrivals becomes a shard, without a shuffle.
         An empty arrival commits a version with nothing new."""
         base, path = self.version(), f"{self.root}/data/{uuid.uuid4().hex}"
+        self.schema = df.schema
         df.write.option("compression", "zstd").parquet(path)
         return self.commit(self.manifest(base).unionByName(self._written(path)), base)
 
@@ -114,7 +121,11 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """The table at a version, with the shard of each row."""
         shards = [r.shard for r in self.manifest(version).select("shard").collect()]
-        df = self.spark.read.parquet(*shards) if shards else self.spark.read.parquet(f"{self.root}/data/*").limit(0)
+        if not shards and self.schema is None:
+            raise FileNotFoundError(f"{self.root} has no data at this version")
+        if not shards:
+            return self.spark.createDataFrame([], self.schema).withColumn("shard", F.lit(""))
+        df = self.spark.read.parquet(*shards)
         return df.withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), "/data/(.*)$", 1))
 
     def vacuum(self) -> int:
