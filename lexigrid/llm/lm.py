@@ -28,8 +28,9 @@ BITS_PER_ENTRY, HASHES = 8, 6
 BROADCAST_VOCAB = 5_000_000
 #: Tokens counted in one buffer before they are sent.
 BUFFER = 2_000_000
-#: Weight of the unigram estimate against a context's count.
-KAPPA = 8.0
+#: Weight of the unigram estimate against a context's count; most bigrams of a
+#: new text are unseen, so it is large.
+KAPPA = 100.0
 END = mix(np.array([0xE0D], U64))[0]
 #: Bits of an n-gram's key: the region's number and 40 more.
 LOW_BITS = U64(40)
