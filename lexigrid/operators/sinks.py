@@ -40,3 +40,12 @@ def report(table: DataFrame, title: str, limit: int = 1000) -> str:
     out = "\n".join([title, "=" * len(title), lines[0], "-" * len(lines[0]), *lines[1:]])
     log.info("%s", out)
     return out
+
+
+def write_stats_text(stats: DataFrame, path: str) -> None:
+    """One row of run statistics as text that read_stats_txt reads."""
+    line = lambda label, c: F.concat(F.lit(label), F.col(c).cast("string"))
+    parts = [line("Threads: ", "threads")]
+    for kind in ("wall", "cpu"):
+        parts += [F.lit(f"{kind.upper()} time (s)"), *[line(f"  {m.capitalize()}: ", f"{kind}_{m}") for m in ("mean", "min", "max")]]
+    stats.select(F.concat_ws("\n", *parts).alias("value")).coalesce(1).write.mode("overwrite").text(path)

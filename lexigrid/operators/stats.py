@@ -48,3 +48,10 @@ def first_number(text: str) -> Column:
     """Digits of the first word that holds any."""
     digits = F.regexp_replace(F.regexp_extract(F.col(text), r"(\S*\d\S*)", 1), r"\D", "")
     return F.nullif(digits, F.lit("")).cast("bigint")
+
+
+def sweep_summary(threads: DataFrame, stats: DataFrame) -> DataFrame:
+    """A line for each thread count that was asked for; a run without figures
+    shows N/A."""
+    text = lambda c: F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.3f", F.col(c))).alias(c)
+    return threads.join(stats, "threads", "left").select("threads", text("wall_mean"))

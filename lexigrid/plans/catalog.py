@@ -200,6 +200,11 @@ def catalog() -> dict[str, tuple[Query, str]]:
     few = {k: v for k, v in SOA.items() if k > 8} | {120: 15.9}
     q["common_threads"] = (lambda s, d: S.common_threads(layout(s, AOS), layout(s, few)), f"select threads from {sql_layout(AOS, 'a')} intersect select threads from {sql_layout(few, 'b')} order by threads")
     q["all_threads"] = (lambda s, d: S.all_threads(layout(s, AOS), layout(s, few)), f"select threads from {sql_layout(AOS, 'a')} union select threads from {sql_layout(few, 'b')} order by threads")
+    asked = [1, 2, 3, 4, 120]
+    q["sweep_summary"] = (
+        lambda s, d: S.sweep_summary(s.createDataFrame([(n,) for n in asked], "threads int"), layout(s, AOS)),
+        f"select threads, coalesce(printf('%.3f', wall_mean), 'N/A') as wall_mean from (select unnest({asked}) as threads) left join {sql_layout(AOS, 'a')} using (threads)",
+    )
     q["book_ids"] = (lambda s, d: book_ids(s, [1342, 84, 11, 98, 2701], 1500), "select distinct book_id from (select unnest([1342, 84, 11, 98, 2701]) as book_id union all select unnest(range(1, 1501))) order by book_id")
     q["first_number"] = (
         lambda s, d: rows(s, ["runs: 12 of 40", "none", "a1b2 33"]).select("id", S.first_number("text").alias("number")),

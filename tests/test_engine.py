@@ -9,7 +9,7 @@ from lexigrid.functions.grams import grams
 from lexigrid.functions.text import clean, normalize, words
 from lexigrid.operators.counting import TABLES, count_all, count_ngrams, prepare, summary
 from lexigrid.operators.compare import compare
-from lexigrid.operators.sinks import report, write_exact, write_stats
+from lexigrid.operators.sinks import report, write_exact, write_stats, write_stats_text
 from lexigrid.plans.job import run_job
 from lexigrid.sources import corpus
 from lexigrid.streaming.counts import running_counts
@@ -92,6 +92,13 @@ def test_sinks(spark, tmp_path):
     assert re.search("threads.*wall_mean", report(runs, "Runs"))
 
 
+def test_stats_text(spark, tmp_path):
+    row = (6, 1.5, 1.25, 2.0, 9.5, 9.0, 10.0)
+    write_stats_text(spark.createDataFrame([row], "threads int, wall_mean double, wall_min double, wall_max double, cpu_mean double, cpu_min double, cpu_max double"), str(tmp_path / "t"))
+    got = corpus.read_stats_txt(spark, str(tmp_path / "t")).first()
+    assert (got.threads, got.wall_mean, got.wall_min, got.wall_max, got.cpu_mean) == (6, 1.5, 1.25, 2.0, 9.5)
+
+
 def test_thread_count():
     assert corpus.thread_count(" 8 ") == 8
     with pytest.raises(ValueError):
