@@ -220,11 +220,11 @@ def score(docs: DataFrame, model: Model, kappa: float = KAPPA, vocab_limit: int
     kept = [c for c in docs.columns if c != "text"]
     small = model.v <= vocab_limit
     if small:
-        got = model.words.toArrow()
-        h, c = got["h"].to_numpy().astype(U64), got["c"].to_numpy()
-        order = np.argsort(h)
-        shared = spark.sparkContext.broadcast((model.filter.bits, h[order], c[order].astype(np.uint32)))
-        del got, h, c
+        got = model.words.orderBy("h").toArrow()  # sorted there, so that the driver holds one copy
+        h, c = got["h"].to_numpy(), got["c"].to_numpy()
+        del got
+        shared = spark.sparkContext.broadcast((model.filter.bits, h, c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c))
+        del h, c
     else:
         shared = spark.sparkContext.broadcast((model.filter.bits, None, None))
     regions = model.filter.regions
@@ -246,8 +246,9 @@ def score(docs: DataFrame, model: Model, kappa: float = KAPPA, vocab_limit: int
                 p = (two + kappa * (c1 + 1) / total) / (np.maximum(before, two) + kappa)
                 score = np.bincount(row, weights=np.log10(p), minlength=rows)
                 if words is not None:
-                    at = np.minimum(np.searchsorted(words, u), max(len(words) - 1, 0))
-                    c = np.where(words[at] == u, counts[at], 0) if len(words) else np.zeros(len(u))
+                    signed = u.astype(np.int64)
+                    at = np.minimum(np.searchsorted(words, signed), max(len(words) - 1, 0))
+                    c = np.where(words[at] == signed, counts[at], 0) if len(words) else np.zeros(len(u))
                     c = c[inv].astype(np.float64)
                     known, base = np.bincount(row, weights=c > 0, minlength=rows), np.bincount(row, weights=np.log10((c + 1) / total), minlength=rows)
                 else:
