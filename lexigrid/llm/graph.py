@@ -22,8 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
     step = 0
     while True:
         both = live.union(live.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("p"), F.col(c).alias("v"))
-        to = both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("v"), F.least(F.col("best"), rank("a"))["v"].alias("m"))
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(step))
+        best = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("u"), F.min(rank("b")).alias("p"))
+        to = best.select(F.col("a").alias("v"), F.when(F.col("p") < rank("a"), F.col("u")).otherwise(F.col("a")).alias("m"))
         to = scratch.save(to)
         nxt = scratch.save(
             live.join(to.toDF("a", "ma"), "a").join(to.toDF("b", "mb"), "b").where("ma <> mb")
