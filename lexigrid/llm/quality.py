@@ -205,3 +205,20 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
 
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*told).dtypes)
     return docs.mapInArrow(run, f"{fields}, score double")
+
+
+def attend(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, passage, weight): the attention that each passage of
+    docs(doc_id, text) gets, summing to 1 in a document."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                x, bags = encode(*flat(b.column(b.schema.get_field_index("text"))))
+                weight = model.forward(x.astype(np.float64), bags)["att"]
+                ids = b.column(b.schema.get_field_index("doc_id")).take(pa.array(np.repeat(np.arange(b.num_rows), bags)))
+                passage = np.arange(len(weight)) - np.repeat(np.cumsum(bags) - bags, bags)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(passage), pa.array(weight)], ["doc_id", "passage", "weight"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, passage bigint, weight double")

@@ -182,6 +182,9 @@ def test_quality_odd(spark):
     got = quality.score(docs, quality.train(docs, labels)).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
+    long = spark.createDataFrame([(1, "a b " * 300), (2, None)], "doc_id bigint, text string")
+    weights = {r.doc_id: (r.n, r.w) for r in quality.attend(long, quality.train(docs, labels)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert weights[1][0] == 5 and weights[2][0] == 1 and all(abs(w - 1) < 1e-9 for _, w in weights.values())
 
 
 def test_quality_held_out(spark):
