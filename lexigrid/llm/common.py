@@ -27,14 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+#: Folders that this process has asked for.
+MADE: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexigrid-{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/lexigrid-{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all of them, for when no result that reads them is needed any
+    more: results are lazy and read the written tables."""
+    while MADE:
+        delete(spark, MADE.pop())
 
 
 class Scratch:
     """Tables written to the shared folder to cut lineage: an executor that is
-    lost later costs no recomputation. ``drop`` deletes those that no later
-    step reads."""
+    lost later costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, work_dir(spark, name), 0
@@ -43,13 +54,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._lexigrid_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            delete(self.spark, df._lexigrid_path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
