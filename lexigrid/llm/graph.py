@@ -30,15 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
             live.join(to.toDF("a", "ma"), "a").join(to.toDF("b", "mb"), "b").where("ma <> mb")
             .select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
         )
-        if nodes is None:
-            nodes = to.toDF("node", "cur")
-        else:
-            old = nodes
-            nodes = old.join(to.toDF("cur", "m"), "cur", "left").select("node", F.coalesce("m", "cur").alias("cur"))
-            nodes = scratch.save(nodes)
+        # composed lazily from the rounds' tables, in one job at the end
+        nodes = to.toDF("node", "cur") if nodes is None else nodes.join(to.toDF("cur", "m"), "cur", "left").select("node", F.coalesce("m", "cur").alias("cur"))
         live = nxt
         step += 1
         if live.isEmpty():
             break
+    nodes = scratch.save(nodes)
     low = nodes.groupBy("cur").agg(F.min("node").alias("component"))
     return nodes.join(low, "cur").select("node", "component")
