@@ -35,7 +35,9 @@ from lexigrid.llm.graph import components
 from lexigrid.llm.spans import U64, Words, flat, mix, shingles, slices
 
 #: Shingles of one buffer of a map task.
-BUFFER = 1_500_000
+BUFFER = 800_000
+#: Buckets of a set's histogram, a finer vertical cut that bounds overlaps.
+BUCKETS = 32
 UNIT = "kind int, frag int, doc_id bigint, sig bigint, n bigint, buf bigint, cnt bigint, sigs binary, counts binary, keys binary, more binary, twice binary, twice_more binary"
 COUNTED = "kind int, doc_id bigint, sig bigint, n bigint, buf bigint, cnt bigint"
 
@@ -206,6 +208,16 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def histograms(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hist): how many shingles that others have too fall into each of
+    BUCKETS hash buckets."""
+    hs = segments.join(nodes, "node", "left_semi").select("node", F.explode("hs").alias("h"))
+    counts = hs.groupBy("node", F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("k"))
+    maps = counts.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("b", "k"))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)))
+    return maps.select("node", each.alias("hist"))
+
+
 def join_sets(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
     """links(a, b) among rows(node, n, h), enough of them to connect all that
     are connected. Nodes of equal id are one set."""
@@ -255,8 +267,13 @@ def join_sets(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
     apart = prefix.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "central")
     sizes = apart.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     apart = scratch.save(apart.join(sizes.select("h", "main"), "h"))
+    apart = scratch.save(apart.join(histograms(segments, apart.select("node").distinct()), "node"))
     x, y = renamed(apart.where("c <> main").drop("main"), "x_"), renamed(apart, "y_")
     once = (F.col("y_c") == F.col("y_main")) | (F.col("x_node") < F.col("y_node"))
-    rest = ordered(x.join(y, "h").where((F.col("x_c") != F.col("y_c")) & once & bound("x_", "y_")))
+    # in each bucket two sets share at most the smaller count: near copies of
+    # one text that changed in different places are told apart by that
+    least = F.aggregate(F.zip_with("x_hist", "y_hist", lambda a, b: F.least(a, b)), F.lit(0).cast("bigint"), lambda total, v: total + v)
+    fine = least * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    rest = ordered(x.join(y, "h").where((F.col("x_c") != F.col("y_c")) & once & bound("x_", "y_") & fine))
     more = verify(scratch.save(rest.join(tried, ["a", "b", "na", "nb"], "left_anti")))
     return links.union(more)
