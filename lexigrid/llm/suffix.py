@@ -95,37 +95,58 @@ def anchor_rows(length: int):
     return run
 
 
-CONTEXT = "anchor bigint, ch bigint, row bigint, pos bigint, side int, ctx binary"
+SPOT = "anchor bigint, ch bigint, row bigint, pos bigint, side int, size int"
+CONTEXT = "anchor bigint, ch bigint, side int, ctx binary, copies bigint"
 
 
-def context_rows(length: int):
-    """Maps (row, text, at: positions) to occurrences (anchor, ch, row, pos)
-    and, once a batch, to contexts (anchor, ch, side, ctx), side being the
-    bytes before the anchor."""
+class Around:
+    """Contexts of the anchors at given positions of a batch's rows."""
+
+    def __init__(self, b: pa.RecordBatch, pos: np.ndarray, doc: np.ndarray, length: int):
+        self.data, off = flat(b.column(b.schema.get_field_index("text")))
+        at, sums = pos + off[doc], prefix_sums(self.data)
+        self.start, self.end = np.maximum(off[doc], at - (length - K)), np.minimum(off[doc + 1], at + length)
+        self.side = (at - self.start).astype(np.int32)
+        anchor = ranges_hash(self.data, at, at + K, sums)
+        self.anchor = anchor.astype(np.int64)
+        self.ch = mix(ranges_hash(self.data, self.start, self.end, sums) + self.side.astype(U64) * U64(0x9E3779B97F4A7C15)).astype(np.int64)
+
+
+def listed(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """(items of the column ``at``, row of each)."""
+    lists = b.column(b.schema.get_field_index("at"))
+    return lists.flatten(), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+
+
+def spot_rows(length: int):
+    """Maps (row, text, at: positions) to SPOT: each anchor with a hash of its
+    context, the bytes before it and the context's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("anchor", pa.int64()), ("ch", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()), ("side", pa.int32()), ("ctx", pa.binary())])
         for whole in batches:
             for b in slices(whole, "text"):
-                data, off = flat(b.column(b.schema.get_field_index("text")))
-                lists = b.column(b.schema.get_field_index("at"))
-                count = lists.value_lengths().to_numpy()
-                doc = np.repeat(np.arange(b.num_rows), count)
-                pos = lists.flatten().to_numpy()
-                at = pos + off[doc]
-                sums = prefix_sums(data)
-                start, end = np.maximum(off[doc], at - (length - K)), np.minimum(off[doc + 1], at + length)
-                anchor = ranges_hash(data, at, at + K, sums)
-                side = at - start
-                ch = mix(ranges_hash(data, start, end, sums) + side.astype(U64) * U64(0x9E3779B97F4A7C15))
+                items, doc = listed(b)
+                pos = items.to_numpy()
+                c = Around(b, pos, doc, length)
                 row = b.column(b.schema.get_field_index("row")).to_numpy()[doc]
-                null = lambda t: pa.nulls(len(at), t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(ch.astype(np.int64)), pa.array(row), pa.array(pos), null(pa.int32()), null(pa.binary())], schema=schema)
-                _, first = np.unique(anchor ^ mix(ch), return_index=True)
-                text = data.tobytes()
-                ctx = pa.array([text[i:j] for i, j in zip(start[first], end[first], strict=True)], pa.binary())
-                none = pa.nulls(len(first), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[first].astype(np.int64)), pa.array(ch[first].astype(np.int64)), none, none, pa.array(side[first].astype(np.int32)), ctx], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c.anchor, c.ch, row, pos, c.side, (c.end - c.start).astype(np.int32))], [x.split()[0] for x in SPOT.split(", ")])
+
+    return run
+
+
+def context_rows(length: int):
+    """Maps (row, text, at: (pos, copies)) to CONTEXT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                items, doc = listed(b)
+                c = Around(b, items.field("pos").to_numpy(), doc, length)
+                text = c.data.tobytes()
+                for lo in range(0, len(doc), 5000):
+                    part = slice(lo, lo + 5000)
+                    ctx = pa.array([text[i:j] for i, j in zip(c.start[part], c.end[part], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c.anchor[part]), pa.array(c.ch[part]), pa.array(c.side[part]), ctx, items.field("copies").slice(lo, 5000)], [x.split()[0] for x in CONTEXT.split(", ")])
 
     return run
 
@@ -255,33 +276,61 @@ def cover_rows(length: int):
     return run
 
 
-def window_rows(length: int):
+#: Offsets of windows are taken in runs of so many; what all windows of a run
+#: hold is their core.
+RUN = 47
+
+
+def window_rows(length: int, cores: bool):
     """Maps contexts to a row (h, anchor, ch, off, copies) for each window that
-    holds the anchor, off bytes after the window's start."""
+    holds the anchor, off bytes after the window's start; or for the core of
+    each run of such windows, off being the run's number. The column ``runs``
+    (null: all) says which runs to take."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                s = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 500):
+                s = b.slice(lo, 500)
                 parts = s.column("ctx").to_pylist()
-                off = np.append(0, np.cumsum([len(p) for p in parts]))
+                base = np.append(0, np.cumsum([len(p) for p in parts]))
                 data = np.frombuffer(b"".join(parts), np.uint8)
-                count = np.maximum(0, np.diff(off) - length + 1)
-                doc = np.repeat(np.arange(len(parts)), count)
-                start = off[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                h = ranges_hash(data, start, start + length)
-                gap = s.column("side").to_numpy()[doc] - (start - off[doc])
+                side, size = s.column("side").to_numpy().astype(np.int64), np.diff(base)
+                number = -(-(length - K + 1) // RUN)
+                chosen = np.array([[r is None or k in r for k in range(number)] for r in s.column("runs").to_pylist()], bool)
+                if cores:
+                    doc, off = np.nonzero(chosen)
+                    first, last = off * RUN, np.minimum(off * RUN + RUN, length - K + 1) - 1
+                    start, end = side[doc] - first, side[doc] - last + length
+                else:
+                    doc, off = np.nonzero(np.repeat(chosen, RUN, axis=1)[:, : length - K + 1])
+                    start, end = side[doc] - off, side[doc] - off + length
+                ok = (start >= 0) & (end <= size[doc])
+                if cores:  # a run may hold a window even where its core is cut by the context's ends
+                    start, end, ok = np.maximum(start, 0), np.minimum(end, size[doc]), start >= 0
+                doc, off, start, end = doc[ok], off[ok], start[ok], end[ok]
+                h = ranges_hash(data, base[doc] + start, base[doc] + end) ^ mix(off.astype(U64))
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), s.column("anchor").take(take), s.column("ch").take(take), pa.array(gap.astype(np.int64)), s.column("copies").take(take)], ["h", "anchor", "ch", "off", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), s.column("anchor").take(take), s.column("ch").take(take), pa.array(off.astype(np.int64)), s.column("copies").take(take)], ["h", "anchor", "ch", "off", "copies"])
 
     return run
 
 
-def cover_by_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """COVER by counting each window: for groups too large for one task."""
-    rows = contexts.mapInArrow(window_rows(length), "h bigint, anchor bigint, ch bigint, off bigint, copies bigint")
+WINDOW = "h bigint, anchor bigint, ch bigint, off bigint, copies bigint"
+
+
+def cover_by_windows(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """COVER by counting windows by hash, for groups too large for one task.
+
+    First the cores of runs of windows are counted. Windows of a run whose
+    core occurs once occur once, so only the others are counted themselves;
+    these shrink map-side, as they repeat."""
+    everything = contexts.withColumn("runs", F.lit(None).cast("array<bigint>"))
+    cores = scratch.save(everything.mapInArrow(window_rows(length, True), WINDOW))
+    known = cores.groupBy("h", "anchor").agg(F.sum("copies").alias("c")).where("c > 1").select("h", "anchor")
+    runs = cores.join(bounded(scratch.save(known), BROADCAST_SPANS), ["h", "anchor"], "left_semi").groupBy("anchor", "ch").agg(F.collect_set("off").alias("runs"))
+    rows = contexts.join(scratch.save(runs), ["anchor", "ch"]).mapInArrow(window_rows(length, False), WINDOW)
     twice = rows.groupBy("h", "anchor", "off").agg(F.sum("copies").alias("c")).where("c > 1").select("h", "anchor", "off")
-    hit = rows.join(twice, ["h", "anchor", "off"])
+    hit = rows.join(bounded(scratch.save(twice), BROADCAST_SPANS), ["h", "anchor", "off"], "left_semi")
     return hit.groupBy("anchor", "ch").agg(F.max("off").alias("before"), F.max(F.lit(length) - F.col("off")).alias("after"))
 
 
@@ -326,39 +375,65 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").isNull().cast("int"), "doc_id", "text").alias("row"))
 
 
-def contexts(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, contexts with their number of copies) of the anchors that
-    may lie in a repeat."""
-    long = keyed(docs).where(F.octet_length("text") >= length)
-    found = scratch.save(long.select("row", "text").mapInArrow(anchor_rows(length), "row bigint, pos bigint, right bigint, left bigint"))
+def at_rows(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """(row, text, at) of the rows in at(row, at: array), a written table."""
+    long = docs.select("row", "text")
+    many = at.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    if many <= BROADCAST_SPANS:
+        return long.join(F.broadcast(at), "row")
+    return keep_ids(long, at.select("row"), "row").join(at, "row")
+
+
+def spots_of(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """SPOT of the anchors that may lie in a repeat, of keyed documents."""
+    found = scratch.save(docs.select("row", "text").mapInArrow(anchor_rows(length), "row bigint, pos bigint, right bigint, left bigint"))
     keys = found.select(F.col("right").alias("h")).union(found.select("left")).where("h is not null")
     twice = scratch.save(keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     right = found.join(twice.withColumnRenamed("h", "right"), "right", "left_semi").select("row", "pos")
     left = found.join(twice.withColumnRenamed("h", "left"), "left", "left_semi").select("row", "pos")
     at = scratch.save(right.union(left).groupBy("row").agg(F.collect_set("pos").alias("at")))
     free_shuffles(docs.sparkSession)
-    many = at.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
-    if many <= BROADCAST_SPANS:
-        texts = long.select("row", "text").join(F.broadcast(at), "row")
-    else:
-        texts = keep_ids(long.select("row", "text"), at.select("row"), "row").join(at, "row")
-    rows = scratch.save(texts.mapInArrow(context_rows(length), CONTEXT))
-    spots = rows.where("ctx is null").select("anchor", "ch", "row", "pos")
-    copies = spots.groupBy("anchor", "ch").agg(F.count("*").alias("copies"))
-    unique = rows.where("ctx is not null").select("anchor", "ch", "side", "ctx").dropDuplicates(["anchor", "ch"])
-    return spots, scratch.save(unique.join(copies, ["anchor", "ch"]))
+    spots = scratch.save(at_rows(docs, at).mapInArrow(spot_rows(length), SPOT))
+    free_shuffles(docs.sparkSession)
+    return spots
+
+
+def distinct_contexts(spots: DataFrame, scratch: Scratch) -> DataFrame:
+    """anchor, ch, copies, side, size, row and pos of one copy, and n: how many
+    different contexts the anchor has. Only light rows are shuffled; copies
+    shrink map-side."""
+    one = spots.groupBy("anchor", "ch").agg(F.count("*").alias("copies"), F.max("side").alias("side"), F.max("size").alias("size"), F.min("row").alias("row"), F.min_by("pos", "row").alias("pos"))
+    one = scratch.save(one)
+    return scratch.save(one.join(one.groupBy("anchor").agg(F.count("*").alias("n")), "anchor"))
+
+
+def cut_contexts(docs: DataFrame, chosen: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """CONTEXT of chosen distinct contexts, each cut from its one copy."""
+    at = scratch.save(chosen.groupBy("row").agg(F.collect_list(F.struct("pos", "copies")).alias("at")))
+    # equal rows would give a context twice
+    return at_rows(docs, at).dropDuplicates(["row"]).mapInArrow(context_rows(length), CONTEXT) if repeated(docs) else at_rows(docs, at).mapInArrow(context_rows(length), CONTEXT)
+
+
+def repeated(docs: DataFrame) -> bool:
+    return not docs.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def covered_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(row, s, e): for each anchor in a repeat, the bytes that repeats of at
     least ``length`` around it cover."""
-    spots, unique = contexts(docs, length, scratch)
-    hot = scratch.save(unique.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor"))
-    small = unique.join(bounded(hot, BROADCAST_SPANS), "anchor", "left_anti")
-    cover = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(cover_rows(length), COVER)
+    docs = keyed(docs).where(F.octet_length("text") >= length)
+    spots = spots_of(docs, length, scratch)
+    known = distinct_contexts(spots, scratch)
+    # the only context of its anchor is covered if it has copies
+    cover = known.where((F.col("n") == 1) & (F.col("copies") > 1) & (F.col("size") >= length)).select("anchor", "ch", F.col("side").cast("bigint").alias("before"), (F.col("size") - F.col("side")).cast("bigint").alias("after"))
+    some = cut_contexts(docs, known.where((F.col("n") > 1) & (F.col("n") <= GROUP)), length, scratch)
+    cover = cover.union(some.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(cover_rows(length), COVER))
+    hot = known.where(F.col("n") > GROUP)
     if not hot.isEmpty():
-        cover = cover.union(cover_by_windows(unique.join(bounded(hot, BROADCAST_SPANS), "anchor", "left_semi"), length))
-    hit = spots.join(scratch.save(cover), ["anchor", "ch"])
+        cover = cover.union(cover_by_windows(scratch.save(cut_contexts(docs, hot, length, scratch)), length, scratch))
+    cover = scratch.save(cover)
+    free_shuffles(docs.sparkSession)
+    hit = spots.select("anchor", "ch", "row", "pos").join(cover, ["anchor", "ch"])
     return hit.select("row", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e"))
 
 
@@ -386,9 +461,10 @@ def maximal_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     the context. Groups of over GROUP contexts are reported by remove_repeats
     alone."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    spots, unique = contexts(docs, length, scratch)
-    hot = scratch.save(unique.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor"))
-    small = unique.join(bounded(hot, BROADCAST_SPANS), "anchor", "left_anti")
+    docs = keyed(docs).where(F.octet_length("text") >= length)
+    spots = spots_of(docs, length, scratch)
+    known = distinct_contexts(spots, scratch).where(F.col("n") <= GROUP)
+    small = cut_contexts(docs, known.where("n > 1 or copies > 1"), length, scratch)
 
     def report(table: pa.Table) -> pa.Table:
         ch, side, ctx = table.column("ch").to_pylist(), table.column("side").to_numpy().astype(np.int64), table.column("ctx").to_pylist()
