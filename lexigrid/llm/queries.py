@@ -92,6 +92,22 @@ k as (select *, passes * size + least(size, greatest(0, round(target - passes *
 select doc_id, size, source_size, target, taken::bigint as taken,
     case when taken > 0 then case when y <= 0 then 0.0::double else 2.0::double * y / (1.0::double - slope + sqrt((1.0::double - slope) * (1.0::double - slope) + 4.0::double * slope * y)) end end as position from k
 order by position, doc_id""",
+    "op4_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r(id, c) as (select doc_id, doc_id from w union select l.b, r.c from r join l on r.id = l.a)
+select w.doc_id, coalesce(n, 0) as n_shingles, m.component_id from w left join n using (doc_id) join (select id, min(c) as component_id from r group by id) m on m.id = w.doc_id""",
+    "op8_embeddings": """
+with recursive e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.95),
+r(id, c) as (select vec_id, vec_id from e union select l.b, r.c from r join l on r.id = l.a),
+m as (select id, min(c) as component_id from r group by id),
+k as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from e join m on id = vec_id left join k on a = vec_id""",
     "op6_decontamination": r"""
 with b as (select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 bw as (select item, least(13, len(w)) as n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as i, w from b where len(w) > 0),
