@@ -376,12 +376,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def at_rows(docs: DataFrame, at: DataFrame) -> DataFrame:
-    """(row, text, at) of the rows in at(row, at: array), a written table."""
-    long = docs.select("row", "text")
-    many = at.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
-    if many <= BROADCAST_SPANS:
-        return long.join(F.broadcast(at), "row")
-    return keep_ids(long, at.select("row"), "row").join(at, "row")
+    """(row, text, at) of the rows in at(row, at: array), a written table. The
+    lists are shuffled to their texts at every size."""
+    return keep_ids(docs.select("row", "text"), at.select("row"), "row").join(at.hint("merge"), "row")
 
 
 def spots_of(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
