@@ -3,11 +3,13 @@
 Counts are quantised, q(c) = 1 + floor(log2 c), and an n-gram enters the
 filter q times, together with 1, 2, .., q; it is read back by probing 1, 2, ..
 until one is missing (Talbot and Osborne 2007). The filter is cut into regions
-by the n-gram's hash, so each reducer builds its own region and what the
-driver gathers and broadcasts has a fixed size."""
+by the n-gram's hash, so each reducer builds its own region. Where every region
+fits its share of FILTER_BITS the filter is broadcast; else regions are sized by
+their entries, stay written tables and are probed by a join."""
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import Scratch
+from lexigrid.llm.common import Scratch, free_shuffles
 from lexigrid.llm.spans import POLY, U64, Words, flat, mix, slices
 
-#: Size of the filter: 64 MB, whatever the corpus.
+#: Size of a filter that is broadcast: 64 MB. A larger one is joined.
 FILTER_BITS = 1 << 29
 #: Bits an entry needs at least, and hash functions.
 BITS_PER_ENTRY, HASHES = 8, 6
@@ -81,10 +83,19 @@ def key_of(h: np.ndarray, regions: int) -> np.ndarray:
     return region_of(h, regions).astype(U64) << LOW_BITS | h & U64((1 << 40) - 1)
 
 
+def bits_for(count: np.ndarray, least: int) -> int:
+    """Bits of a region for all entries of these counts: ``least``, doubled
+    until they fit."""
+    need = int(levels(count).sum()) * BITS_PER_ENTRY
+    while least < need:
+        least *= 2
+    return least
+
+
 def build_region(key: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
     """(bytes of a region, cutoff). If its entries would need more than the
     region has, the n-grams of the smallest counts, up to the cutoff, are left
-    out; that is what keeps the broadcast at its size on any corpus."""
+    out; train() gives each region what bits_for() says, so none are."""
     q, cutoff = levels(count), 0
     while q[count > cutoff].sum() * BITS_PER_ENTRY > bits:
         cutoff = int(count[count > cutoff].min())
@@ -105,11 +116,15 @@ class Filter:
     regions: int
 
     def counts(self, h: np.ndarray) -> np.ndarray:
-        """Quantised count of each n-gram hash, by repeated probes."""
+        """Quantised count of each n-gram hash."""
+        return level_count(self.levels(key_of(h, self.regions), region_of(h, self.regions)))
+
+    def levels(self, key: np.ndarray, region: np.ndarray) -> np.ndarray:
+        """Level of each key in its region, by repeated probes."""
         size = len(self.bits) * 8 // self.regions
-        key, base = key_of(h, self.regions), region_of(h, self.regions) * size
-        q = np.zeros(len(h), np.int64)
-        live = np.arange(len(h))
+        base = region * size
+        q = np.zeros(len(key), np.int64)
+        live = np.arange(len(key))
         level = 1
         while len(live):
             sub = live
@@ -123,12 +138,14 @@ class Filter:
             q[sub] = level
             live = sub
             level += 1
-        return level_count(q)
+        return q
 
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | None  # None if it is larger than a broadcast
+    regions: int
+    tables: DataFrame  # (region, bits, h, c): regions and exact counts of their words, written
     n: int  # tokens in training
     v: int  # distinct ones
     words: DataFrame  # (h, c) of the exact counts, written
@@ -174,7 +191,9 @@ def count_rows(regions: int):
 
 
 def train(docs: DataFrame, filter_bits: int = FILTER_BITS, regions: int | None = None) -> Model:
-    """Counts all words and bigrams of docs(text) and builds the filter."""
+    """Counts all words and bigrams of docs(text) and builds the filter. Every
+    n-gram is in it: a region whose entries need more than its share of
+    ``filter_bits`` grows, and the filter is then not broadcast."""
     spark = docs.sparkSession
     if regions is None:
         regions = 1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
@@ -199,22 +218,32 @@ def train(docs: DataFrame, filter_bits: int = FILTER_BITS, regions: int | None =
                 exact = (h, c)
             keys.append(U64(region) << LOW_BITS | h & U64((1 << 40) - 1))
             counts.append(c)
-        data, cutoff = build_region(np.concatenate(keys), np.concatenate(counts), bits)
-        return pa.table({"region": pa.array([region], pa.int32()), "bits": pa.array([data.tobytes()], pa.binary()), "cutoff": pa.array([cutoff], pa.int64()), "h": pa.array([exact[0].astype(np.int64)], pa.list_(pa.int64())), "c": pa.array([exact[1]], pa.list_(pa.int64()))})
+        count = np.concatenate(counts)
+        data, _ = build_region(np.concatenate(keys), count, bits_for(count, bits))
+        return pa.table({"region": pa.array([region], pa.int32()), "bits": pa.array([data.tobytes()], pa.binary()), "h": pa.array([exact[0].astype(np.int64)], pa.list_(pa.int64())), "c": pa.array([exact[1]], pa.list_(pa.int64()))})
 
     sent = docs.select("text").mapInArrow(count_rows(regions), "region int, kind int, keys binary, more binary, counts binary")
-    merged = scratch.save(sent.groupBy("region").applyInArrow(merge, "region int, bits binary, cutoff bigint, h array<bigint>, c array<bigint>"))
-    whole = np.zeros(filter_bits // 8, np.uint8)
-    for r in merged.select("region", "bits").toLocalIterator():
-        whole[r.region * (bits // 8) : (r.region + 1) * (bits // 8)] = np.frombuffer(r.bits, np.uint8)
+    merged = scratch.save(sent.groupBy("region").applyInArrow(merge, "region int, bits binary, h array<bigint>, c array<bigint>"))
+    whole = None
+    if merged.where(F.octet_length("bits") > bits // 8).isEmpty():
+        whole = np.zeros(filter_bits // 8, np.uint8)
+        for r in merged.select("region", "bits").toLocalIterator():
+            whole[r.region * (bits // 8) : (r.region + 1) * (bits // 8)] = np.frombuffer(r.bits, np.uint8)
     words = merged.select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.h", "x.c")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    return Model(Filter(whole, regions), n, v, words)
+    return Model(None if whole is None else Filter(whole, regions), regions, merged, n, v, words)
+
+
+def log_probs(two: np.ndarray, c1: np.ndarray, before: np.ndarray, kappa: float, total: float) -> np.ndarray:
+    """log10 of each token's probability after the one before."""
+    return np.log10((two + kappa * (c1 + 1) / total) / (np.maximum(before, two) + kappa))
 
 
 def score(docs: DataFrame, model: Model, kappa: float = KAPPA, vocab_limit: int = BROADCAST_VOCAB) -> DataFrame:
     """docs (its other columns, without text) with n_tokens, n_known,
     base_score and score. A null text is empty and has the end alone."""
+    if model.filter is None:
+        return score_by_regions(docs, model, kappa)
     spark = docs.sparkSession
     total = model.n + model.v + 1.0
     kept = [c for c in docs.columns if c != "text"]
@@ -243,8 +272,7 @@ def score(docs: DataFrame, model: Model, kappa: float = KAPPA, vocab_limit: int
                 two = lm.counts(pair)[pair_inv]
                 c1 = one[inv]
                 before = np.append(lm.counts(np.array([END])), c1[:-1])  # a row's first token follows an end
-                p = (two + kappa * (c1 + 1) / total) / (np.maximum(before, two) + kappa)
-                score = np.bincount(row, weights=np.log10(p), minlength=rows)
+                score = np.bincount(row, weights=log_probs(two, c1, before, kappa, total), minlength=rows)
                 if words is not None:
                     signed = u.astype(np.int64)
                     at = np.minimum(np.searchsorted(words, signed), max(len(words) - 1, 0))
@@ -295,3 +323,125 @@ def base_by_join(rows: DataFrame, words: DataFrame, total: float) -> DataFrame:
     joined = tf.join(words, "h", "left")
     c = F.coalesce("c", F.lit(0))
     return joined.groupBy("_row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((c + 1) / F.lit(total))).alias("base_score"))
+
+
+def chunk_rows():
+    """Maps texts to rows (chunk, rows): about BUFFER tokens of documents, as
+    an Arrow stream, under a random number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, parts[0].schema) as w:
+                for b in parts:
+                    w.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+        parts, size = [], 0
+        for whole in batches:
+            for b in slices(whole, "text"):
+                parts.append(b)
+                size += len(Words(*flat(b.column(b.schema.get_field_index("text"))))) + b.num_rows
+                if size >= BUFFER:
+                    yield send(parts)
+                    parts, size = [], 0
+        if parts:
+            yield send(parts)
+
+    return run
+
+
+def chunk_tokens(rows: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(documents, tokens, row of each token) of a chunk."""
+    table = pa.ipc.open_stream(rows).read_all()
+    toks, row, done = [], [], 0
+    for b in table.to_batches():
+        t, r = tokens(*flat(b.column(b.schema.get_field_index("text"))))
+        toks.append(t)
+        row.append(r + done)
+        done += b.num_rows
+    return table, np.concatenate(toks), np.concatenate(row)
+
+
+def ask_rows(regions: int):
+    """Maps chunks to rows (chunk, region, kind, keys): the distinct words (0)
+    and bigrams (1) of a chunk that belong to a region, by rising hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, rows in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                _, tok, _ = chunk_tokens(rows.as_py())
+                out: dict[str, list] = {"chunk": [], "region": [], "kind": [], "keys": [], "more": []}
+                for kind, h in enumerate((tok, bigrams(tok))):
+                    u = np.unique(h)
+                    cut = np.searchsorted(region_of(u, regions), np.arange(regions + 1))
+                    low, mid = (u & U64(0xFFFFFFFF)).astype(np.uint32), (u >> U64(32) & U64(0xFF)).astype(np.uint8)
+                    for r in np.flatnonzero(np.diff(cut)):
+                        at = slice(cut[r], cut[r + 1])
+                        for k, v in (("chunk", chunk), ("region", int(r)), ("kind", kind), ("keys", (low if kind else u)[at].tobytes()), ("more", mid[at].tobytes() if kind else b"")):
+                            out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("region", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())]))
+
+    return run
+
+
+def score_by_regions(docs: DataFrame, model: Model, kappa: float) -> DataFrame:
+    """score() where the filter is too large to broadcast. Chunks of documents
+    send their distinct n-grams to the regions and get back the levels, and of
+    words the exact counts, in the order they were sent. Nothing of the size of
+    the corpus passes through the driver."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
+    regions, total = model.regions, model.n + model.v + 1.0
+    kept = [c for c in docs.columns if c != "text"]
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"chunk": [], "region": [], "kind": [], "level": [], "exact": []}
+        known = own.num_rows > 0
+        if known:  # a region of no training n-gram has no row
+            lm = Filter(np.frombuffer(own.column("bits")[0].as_py(), np.uint8), 1)
+            words, counts = (own.column(c)[0].values.to_numpy() for c in ("h", "c"))
+            order = np.argsort(words)
+            words, counts = words[order], counts[order]
+        for x in asked.to_pylist():
+            if x["kind"]:
+                h = np.frombuffer(x["keys"], np.uint32).astype(U64) | np.frombuffer(x["more"], np.uint8).astype(U64) << U64(32)
+            else:
+                h = np.frombuffer(x["keys"], U64)
+            level, exact = np.zeros(len(h), np.uint8), np.zeros(len(h), np.int64)
+            if known:
+                level = lm.levels(U64(x["region"]) << LOW_BITS | h & U64((1 << 40) - 1), np.zeros(len(h), np.int64)).astype(np.uint8)
+            if known and not x["kind"] and len(words):
+                signed = h.astype(np.int64)
+                at = np.minimum(np.searchsorted(words, signed), len(words) - 1)
+                exact = np.where(words[at] == signed, counts[at], 0)
+            for k, v in (("chunk", x["chunk"]), ("region", x["region"]), ("kind", x["kind"]), ("level", level.tobytes()), ("exact", b"" if x["kind"] else exact.tobytes())):
+                out[k].append(v)
+        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("region", pa.int32()), ("kind", pa.int32()), ("level", pa.binary()), ("exact", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, answers in zip(b.column(0), b.column(1), strict=True):
+                table, tok, row = chunk_tokens(chunk.as_py())
+                got = answers.as_py()  # by kind and region, which is the order of the hashes
+                read = lambda k, c, t: np.frombuffer(b"".join(x[c] for x in got if x["kind"] == k), t)  # noqa: B023, E731
+                u, inv = np.unique(tok, return_inverse=True)
+                one, exact = level_count(read(0, "level", np.uint8).astype(np.int64)), read(0, "exact", np.int64)
+                _, pair_inv = np.unique(bigrams(tok), return_inverse=True)
+                two = level_count(read(1, "level", np.uint8).astype(np.int64))[pair_inv]
+                c1, c = one[inv], exact[inv].astype(np.float64)
+                before = np.append(one[np.searchsorted(u, END)], c1[:-1])
+                sums = lambda w: np.bincount(row, weights=w, minlength=table.num_rows)  # noqa: B023, E731
+                n_tokens = np.bincount(row, minlength=table.num_rows).astype(np.int64)
+                more = [pa.array(n_tokens), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(np.log10((c + 1) / total))), pa.array(sums(log_probs(two, c1, before, kappa, total)))]
+                named = [table.column(k).combine_chunks() for k in kept]
+                yield pa.RecordBatch.from_arrays([*named, *more], [*kept, "n_tokens", "n_known", "base_score", "score"])
+
+    chunks = scratch.save(docs.mapInArrow(chunk_rows(), "chunk bigint, rows binary"))
+    asked = chunks.mapInArrow(ask_rows(regions), "chunk bigint, region int, kind int, keys binary, more binary")
+    answers = asked.groupBy("region").cogroup(model.tables.groupBy("region")).applyInArrow(answer, "chunk bigint, region int, kind int, level binary, exact binary")
+    answers = scratch.save(answers)
+    free_shuffles(spark)
+    listed = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "region", "level", "exact"))).alias("answers"))
+    fields = "".join(f"`{k}` {t}, " for k, t in docs.drop("text").dtypes)
+    return chunks.join(listed, "chunk").select("rows", "answers").mapInArrow(run, fields + "n_tokens bigint, n_known bigint, base_score double, score double")

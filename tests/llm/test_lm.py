@@ -70,3 +70,25 @@ def test_empty(spark):
     assert lm.score(docs, model).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert lm.score(one, model).first().n_tokens == 3
+
+
+def test_no_ngram_left_out(spark):
+    """Regions too small for their entries grow; the scores stay those of a
+    filter with room for all."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 300) % 5000)) for i in range(60)] + [(100, None), (101, ""), (102, "unseen words only")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    train = docs.where("doc_id < 50")
+    want = {r.doc_id: r for r in lm.score(docs, lm.train(train, 1 << 24)).collect()}
+    model = lm.train(train, 1 << 13)
+    got = {r.doc_id: r for r in lm.score(docs, model).collect()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        g = got[i]
+        assert (g.n_tokens, g.n_known) == (w.n_tokens, w.n_known)
+        assert math.isclose(g.base_score, w.base_score, abs_tol=1e-6)
+    # a filter of 8 bits an entry may take an unseen n-gram for a seen one (2 %
+    # at most), but misses none
+    apart = sum(abs(got[i].score - w.score) for i, w in want.items())
+    assert apart <= 0.01 * sum(w.n_tokens for w in want.values())
+    assert lm.score(docs.limit(0), model).count() == 0
