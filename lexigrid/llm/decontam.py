@@ -34,13 +34,15 @@ def bounded(df: DataFrame, limit: int) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """(item, at, len, words): every run of ``width`` words of an item, or all
-    its words where it has fewer; items without words give none."""
+    """(item, len, words, win): every run of ``width`` words of an item, or all
+    its words where it has fewer; items without words give none. win, two hashes
+    of the words, is what a window is known by: items may share an id."""
     w = F.col("w")
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), bench_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0)))
     rows = rows.select("item", "w", F.explode(starts).alias("at"))
-    return rows.select("item", "at", F.least(F.size(w), F.lit(width)).alias("len"), F.slice(w, F.col("at") + 1, width).alias("words")).distinct()
+    rows = rows.select("item", F.least(F.size(w), F.lit(width)).alias("len"), F.slice(w, F.col("at") + 1, width).alias("words"))
+    return rows.select("*", F.struct(F.xxhash64("len", "words").alias("a"), F.xxhash64(F.lit(1), "len", "words").alias("b")).alias("win")).distinct()
 
 
 def row_key() -> Column:
@@ -69,10 +71,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     row = row_key().alias("row")
     windows = scratch.save(item_windows(benchmark, width))
     size = F.least("len", F.lit(SHINGLE))
+    distinct = windows.select("win", "len", "words").distinct()
     parts = None
     sizes = sorted(r[0] for r in windows.select(size).distinct().collect())  # of 1, 2 and 3
     for n in sizes:
-        some = windows.where(size == n).select("item", "at", "len", F.posexplode(shingle_hashes(F.col("words"), n)).alias("off", "h"))
+        some = distinct.where(size == n).select("win", "len", F.posexplode(shingle_hashes(F.col("words"), n)).alias("off", "h"))
         parts = some if parts is None else parts.union(some)
     counted = docs.select("doc_id", row, F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(BENCH_WORD)), F.lit(0)).cast("bigint").alias("n_words"))
     if parts is None:
@@ -86,8 +89,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
         spans = spans.select("row", F.size("w").alias("n"), F.posexplode(lists).alias("i", "h"))
         hits = scratch.save(spans.join(bounded(known, BROADCAST_SHINGLES), "h"))
         seen = hits.groupBy("h").agg(F.count("*").alias("df"))
-        ranked = parts.join(seen, "h", "left").groupBy("item", "at", "len").agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.min(F.struct("df", "h", "off")).alias("p"))
-        prefix = scratch.save(ranked.where("least > 0").select("item", "at", "len", "p.h", "p.off"))
+        ranked = parts.join(seen, "h", "left").groupBy("win", "len").agg(F.min(F.coalesce("df", F.lit(0))).alias("least"), F.min(F.struct("df", "h", "off")).alias("p"))
+        prefix = scratch.save(ranked.where("least > 0").select("len", "p.h", "p.off").distinct())
         base, starts = F.lit(0), None
         for n in sizes:  # where the list of this size begins
             here = F.when(F.least("len", F.lit(SHINGLE)) == n, F.col("i") - base)

@@ -91,6 +91,17 @@ def test_contamination(spark):
     assert decontam.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_shared_ids(spark):
+    long = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcdef"]
+    items = [(1, long[0]), (1, long[1]), (1, long[4]), (None, long[2]), (None, long[3]), (None, long[5]), (2, "short one"), (2, "other pair")]
+    # long[4] and long[5] are in no document
+    rows = [(i, t) for i, (_, t) in enumerate(items) if t not in (long[4], long[5])] + [(20, f"x {long[0]} y {long[3]} z"), (21, " ".join(long[1].split()[3:17]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, decontam.contamination(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()))
+    assert got == sorted((i, *plain_contamination(t, [("" if k is None else k, x) for k, x in items])) for i, t in rows)
+    assert all(r[-1] for r in got)
+
+
 RULES = [urls.Rule("allow", "com/"), urls.Rule("block", "bad.org/"), urls.Rule("allow", "ok.bad.org/")]
 
 
