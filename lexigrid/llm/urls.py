@@ -46,21 +46,58 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+#: A value of an attribute: in double quotes, in single quotes or in none.
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
+VALUE_GROUPS = r"""(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))"""
+
+
+def found(text: Column, pattern: str) -> Column:
+    """What the one of three groups that takes part has matched; else empty."""
+    return F.concat(*[F.regexp_extract(text, pattern, k) for k in (1, 2, 3)])
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """Value of a quoted attribute of a tag; empty if it has none."""
-    return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']([^"']*)["']""", 1)
+    """Value of the first attribute of this name of a tag, quoted or not; empty
+    if it has none. Names inside the values of others don't count."""
+    other = rf"[\s/]*+[^\s/>=]++(?:\s*+=\s*+{VALUE})?+"
+    return found(tag, rf"(?is)^<[a-z]++(?:{other})*?[\s/]*+{name}\s*+=\s*+{VALUE_GROUPS}")
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with /, without its segments . and .. ."""
+    parts = F.split(path, "/", -1)
+    up = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.array_append(acc, x))
+    rest = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.array_join(rest, "/"), F.when(ends, "/").otherwise(""))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The target ``to`` of a page, absolute; null if it has no host."""
+    scheme, site = F.regexp_extract(url, r"(?s)^(.*?:)//", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    to_path, to_rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    path = F.when(to.startswith("/"), to_path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), to_path))
+    query = F.when(to.startswith("#"), F.regexp_extract(url, r"(?s)^[^#]*?(\?[^#]*)", 1)).otherwise("")
+    same = F.concat(site, path_of(url), query, to)
+    inside = F.when(to.startswith("?") | to.startswith("#"), same).otherwise(F.concat(site, without_dots(path), to_rest))
+    absolute = F.when(to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*://"), to)
+    other = to.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:")
+    return F.coalesce(absolute, F.when(~other & (site != ""), F.when(to.startswith("//"), F.concat(scheme, to)).otherwise(inside)))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): urls that a page's html names as its canonical url or that
-    it refreshes to. Relative targets are resolved against the page's host."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
+    it refreshes to. Relative targets are resolved against the page's url."""
+    tags = F.regexp_extract_all("html", F.lit(r"""(?is)(<(?:link|meta)\b(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>)"""), 1)
     rows = pages.where("url is not null and html is not null").select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.lower(attribute(F.col("tag"), "rel")) == "canonical", attribute(F.col("tag"), "href"))
-    refresh = F.when(F.lower(attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*(\S+)", 1))
+    tag = F.col("tag")
+    canonical = F.when(F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical"), attribute(tag, "href"))
+    goes = found(attribute(tag, "content"), r"""(?is)^\s*+(?:[\d.]++\s*+[;,]?+\s*+(?:url\s*+=\s*+)?+|url\s*+=\s*+)(?:"([^"]*+)|'([^']*+)|([^"'\s]\S*+))""")
+    refresh = F.when(F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh", goes)
     rows = rows.select("url", F.trim(F.coalesce(canonical, refresh)).alias("to")).where("to <> ''")
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    target = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.regexp_extract("url", r"(?s)^(.*?:)//", 1), "to")).when(F.col("to").startswith("/"), F.concat(site, "to"))
+    target = resolved(F.col("url"), F.col("to"))
     return rows.select(F.col("url").alias("src"), target.alias("dst")).where("dst is not null and src <> dst").distinct()
 
 

@@ -133,6 +133,36 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), RULES).count() == 0
 
 
+
+def test_url_edges(spark):
+    at = "http://s.net/d/e/p.html?q=1#f"
+    cases = [
+        ("<link rel=canonical href=http://bad.org/x>", "http://bad.org/x"),
+        ("<link rel='nofollow Canonical' href='page.html'>", "http://s.net/d/e/page.html"),
+        ('<link href="../a/./b?y=../z" rel="canonical"/>', "http://s.net/d/a/b?y=../z"),
+        ('<link rel="canonical" href="?id=1">', "http://s.net/d/e/p.html?id=1"),
+        ('<link rel="canonical" href="../../../..">', "http://s.net/"),
+        ('<link rel="canonical" href="/login?next=http://x">', "http://s.net/login?next=http://x"),
+        ('<link rel="canonical" href="//o.net/k">', "http://o.net/k"),
+        ('<link rel="canonical" href="/it\'s">', "http://s.net/it's"),
+        ('<link title="a > href=no rel=x" data-href="no" rel="canonical" href="/t">', "http://s.net/t"),
+        ("""<meta http-equiv="refresh" content="0;url='http://bad.org/y'">""", "http://bad.org/y"),
+        ("""<META CONTENT='5; URL="n.html"' HTTP-EQUIV=Refresh>""", "http://s.net/d/e/n.html"),
+        ("<meta http-equiv=refresh content=0;url=../m>", "http://s.net/d/m"),
+        ('<meta http-equiv="refresh" content="30">', None),
+        ('<link rel="canonical" href="mailto:a@b.c">', None),
+        ('<link rel="canonicals" href="/no">', None),
+        ('<link rel="stylesheet" title="rel=canonical" href="/no">', None),
+    ]
+    for k, (html, want) in enumerate(cases):
+        cases[k] = (at.replace("s.net", f"s{k}.net"), html, want and want.replace("s.net", f"s{k}.net"))
+    df = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(cases)], "page_id int, url string, html string")
+    got = {r.src: r.dst for r in urls.link_edges(df).collect()}
+    assert got == {u: w for u, _, w in cases if w}
+    blocked = {r.page_id for r in urls.judge(df, RULES).where("verdict = 'block'").collect()}
+    assert blocked == {0, 9}
+
+
 def test_chats(spark):
     turns = {1: "ab", 2: "abc", 3: "abc", 4: "abd", 5: "b", 6: "", None: "abcx", 8: "ab"}
     rows = [(c, k, "user" if k % 2 else "assistant", t, 0) for c, s in turns.items() for k, t in enumerate(s)]
