@@ -455,12 +455,11 @@ def maximal_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """(repeat, bytes, occurrences: array of (row, start)): maximal repeats
     around each anchor with all their occurrences. row is keyed()'s. A repeat
     longer than a context shows as one entry for each of its anchors, cut at
-    the context. Groups of over GROUP contexts are reported by remove_repeats
-    alone."""
+    the context. An anchor's distinct contexts are one task's, however many."""
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = keyed(docs).where(F.octet_length("text") >= length)
     spots = spots_of(docs, length, scratch)
-    known = distinct_contexts(spots, scratch).where(F.col("n") <= GROUP)
+    known = distinct_contexts(spots, scratch)
     small = cut_contexts(docs, known.where("n > 1 or copies > 1"), length, scratch)
 
     def report(table: pa.Table) -> pa.Table:

@@ -64,6 +64,17 @@ def test_repeats(spark):
     assert any(x.bytes >= 120 and {key[o.row] for o in x.occurrences} == {1, 2, 3} for x in got)
 
 
+
+def test_maximal_repeats_of_large_groups(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghij", k=7))
+    shared = " ".join(word() for _ in range(14))
+    docs = spark.createDataFrame([(i, " ".join([word() for _ in range(40)] + [shared] + [word() for _ in range(40)])) for i in range(6)], "doc_id bigint, text string")
+    monkeypatch.setattr(suffix, "GROUP", 3)
+    got = suffix.maximal_repeats(docs, 100).collect()
+    assert any(len(x.occurrences) == 6 and x.bytes >= 100 for x in got)
+
+
 def test_empty(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
