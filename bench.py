@@ -1,4 +1,9 @@
-"""Times the headline counts at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Times the headline counts at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
+
+The tables' files are single row groups, which one task reads; the queries deal
+so small a table over all cores themselves (sources.corpus.spread). Each time
+is the smaller of two runs after one that compiles. mb is the text's size, and
+mb_per_s_core what all_counts gets through on each core."""
 
 import json
 import os
@@ -35,7 +40,12 @@ def main() -> None:
             queries[name][0](spark, SF_DIR).write.format("noop").mode("overwrite").save()
             best.append(time.perf_counter() - start)
         took[name] = round(min(best[1:]), 3)
-    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(SF_DIR.rstrip("/"))}))
+    from pyspark.sql import functions as F
+
+    text = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    mb = text.agg(F.sum(F.octet_length("text"))).first()[0] / 1e6
+    speed = round(mb / took["all_counts"] / int(CPUS), 3)
+    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(SF_DIR.rstrip("/")), "mb": round(mb, 1), "cores": int(CPUS), "mb_per_s_core": speed}))
 
 
 if __name__ == "__main__":

@@ -23,10 +23,20 @@ START_MARK = "*** START OF"
 END_MARK = "*** END OF"
 CLOSE_MARK = "***"
 
-#: Characters that vanish without leaving a space.
-DROPPED = r"[0-9\x00-\x08\x0B\x0C\x0E-\x1F\x7F]|[^\x00-\x7F]"
-#: The same when punctuation vanishes too.
-DROPPED_PUNCT = r"[^A-Za-z \t\n\r]"
+#: Whitespace that becomes a space in either mode; other controls vanish.
+BLANKS = " \t\n\r"
+
+
+def table(punct: str) -> tuple[str, str]:
+    """From and to, for one translate(): accents fold, capitals fall, blanks
+    (and punctuation) become spaces; what is left of ASCII has no partner in
+    ``to``, so it vanishes."""
+    upper = "".join(map(chr, range(65, 91)))
+    ascii_ = [chr(i) for i in range(128)]
+    marks = "".join(c for c in ascii_ if c.isprintable() and not c.isalnum() and c not in BLANKS) if punct == "space" else ""
+    gone = "".join(c for c in ascii_ if not c.isalpha() and c not in BLANKS and c not in marks)
+    spaced = marks + BLANKS[1:]
+    return FOLD_FROM + upper + spaced + gone, FOLD_TO + upper.lower() + " " * len(spaced)
 
 
 def clean(text: Column) -> Column:
@@ -42,13 +52,12 @@ def clean(text: Column) -> Column:
 def normalize(text: Column, punct: str = "space") -> Column:
     """Fold accents, delete digits, controls and other non-ASCII characters,
     turn punctuation into spaces (``punct='space'``) or delete it
-    (``punct='drop'``), lower-case. Lower-casing comes last, since it can turn
-    a non-ASCII letter into an ASCII one."""
+    (``punct='drop'``), lower-case. One pass over the characters does all of
+    it; only texts with other non-ASCII characters are searched for these."""
     if punct not in ("space", "drop"):
         raise ValueError(f"punct must be 'space' or 'drop', not {punct!r}")
-    folded = F.translate(text, FOLD_FROM, FOLD_TO)
-    kept = F.regexp_replace(folded, DROPPED if punct == "space" else DROPPED_PUNCT, "")
-    return F.lower(F.regexp_replace(kept, "[^A-Za-z]", " "))
+    plain = F.translate(text, *table(punct))
+    return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(F.regexp_replace(plain, "[^\\x00-\\x7F]+", ""))
 
 
 def words(normalized: Column) -> Column:

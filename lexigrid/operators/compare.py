@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def classify(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(ngram, left_freq, right_freq, status): match, mismatch, only_left or only_right."""
-    a = left.select("ngram", F.col("frequency").alias("left_freq"))
-    b = right.select("ngram", F.col("frequency").alias("right_freq"))
+def classify(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
+    """(by.., ngram, left_freq, right_freq, status): match, mismatch, only_left or only_right."""
+    a = left.select(*by, "ngram", F.col("frequency").alias("left_freq"))
+    b = right.select(*by, "ngram", F.col("frequency").alias("right_freq"))
     status = (
         F.when(F.col("right_freq").isNull(), "only_left")
         .when(F.col("left_freq").isNull(), "only_right")
         .when(F.col("left_freq") == F.col("right_freq"), "match")
         .otherwise("mismatch")
     )
-    return a.join(b, "ngram", "full_outer").select("ngram", "left_freq", "right_freq", status.alias("status"))
+    return a.join(b, [*by, "ngram"], "full_outer").select(*by, "ngram", "left_freq", "right_freq", status.alias("status"))
 
 
-def compare(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row of totals, matches, errors, verdict and accuracy in percent
-    (100 when both are empty)."""
+def compare(name: str, left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
+    """Totals, matches, errors, verdict and accuracy in percent (100 when both
+    are empty): one row, or one for each value of the columns ``by`` (all
+    kinds of tables by one join)."""
     n = lambda s: F.count_if(F.col("status") == s)
-    got = classify(left, right).agg(
+    got = classify(left, right, *by).groupBy(*by).agg(
         F.count("left_freq").alias("left_unique"), F.count("right_freq").alias("right_unique"),
         F.coalesce(F.sum("left_freq"), F.lit(0)).alias("left_total"), F.coalesce(F.sum("right_freq"), F.lit(0)).alias("right_total"),
         n("match").alias("matches"), n("mismatch").alias("mismatches"), n("only_left").alias("only_left"), n("only_right").alias("only_right"),

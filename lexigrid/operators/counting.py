@@ -1,17 +1,22 @@
 """Counting and ranking n-grams.
 
-Counts are map-side combined hash aggregates followed by one hash exchange;
-a hot n-gram therefore sends one row per map task. Ranking adds one range
-exchange (all_sorted) or none (top_n)."""
+Each task counts its own buffers of text and sends distinct n-grams with their
+counts through one hash exchange; a hot n-gram therefore sends one row per
+buffer. Ranking adds one range exchange (all_sorted) or none (top_n)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.functions.batches import counter
 from lexigrid.functions.grams import char_grams, spaced, word_grams
 from lexigrid.functions.text import clean, normalize, words
+from lexigrid.shared import bound_batches
 
+COUNTS = "kind string, ngram string, frequency bigint"
+#: Longest n-grams of letters that a 64-bit number holds.
+LONGEST = 13
 #: name -> (token kind, n): the four tables of the job.
 TABLES = {"word_bigrams": ("word", 2), "word_trigrams": ("word", 3), "char_bigrams": ("char", 2), "char_trigrams": ("char", 3)}
 
@@ -26,22 +31,26 @@ def count_ngrams(prepared: DataFrame, kind: str, n: int, *by: str) -> DataFrame:
     """(ngram, frequency) of one kind, per value of the columns ``by`` if any."""
     if n < 1:
         raise ValueError("n must be at least 1")
+    if kind not in ("word", "char"):
+        raise ValueError(f"kind must be 'word' or 'char', not {kind!r}")
+    if not by and (kind == "word" or n <= LONGEST):
+        return count_batches(prepared, (kind, kind, n)).groupBy("ngram").agg(F.sum("frequency").alias("frequency"))
     if kind == "word":
         return prepared.select(*by, F.explode(word_grams(F.col("norm"), n)).alias("ngram")).groupBy(*by, "ngram").agg(F.count("*").alias("frequency"))
-    if kind != "char":
-        raise ValueError(f"kind must be 'word' or 'char', not {kind!r}")
     compact = prepared.select(*by, F.explode(char_grams(F.col("norm"), n)).alias("g")).groupBy(*by, "g").agg(F.count("*").alias("frequency"))
     return compact.select(*by, spaced(F.col("g")).alias("ngram"), "frequency")
 
 
+def count_batches(prepared: DataFrame, *kinds: tuple[str, str, int]) -> DataFrame:
+    """(kind, ngram, frequency) of each task's buffers, to be summed."""
+    bound_batches(prepared.sparkSession)
+    return prepared.select("norm").mapInArrow(counter(kinds), COUNTS)
+
+
 def count_all(prepared: DataFrame) -> DataFrame:
     """(kind, ngram, frequency): the four tables from one scan and one
     normalization of the corpus."""
-    norm = F.col("norm")
-    tagged = F.array(*[F.struct(F.lit(k).alias("kind"), (word_grams if t == "word" else char_grams)(norm, n).alias("g")) for k, (t, n) in TABLES.items()])
-    rows = prepared.select(F.explode(tagged).alias("s")).select("s.kind", F.explode("s.g").alias("g"))
-    counted = rows.groupBy("kind", "g").agg(F.count("*").alias("frequency"))
-    return counted.select("kind", F.when(F.col("kind").startswith("char"), spaced(F.col("g"))).otherwise(F.col("g")).alias("ngram"), "frequency")
+    return count_batches(prepared, *[(k, *v) for k, v in TABLES.items()]).groupBy("kind", "ngram").agg(F.sum("frequency").alias("frequency"))
 
 
 def all_sorted(counts: DataFrame) -> DataFrame:
@@ -67,7 +76,7 @@ def first_entries(counts: DataFrame) -> DataFrame:
 
 def vocabulary(prepared: DataFrame) -> DataFrame:
     """Distinct words and their counts."""
-    return prepared.select(F.explode(words(F.col("norm"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return count_ngrams(prepared, "word", 1).toDF("word", "n")
 
 
 def split_key(counts: DataFrame) -> DataFrame:

@@ -50,8 +50,13 @@ def first_number(text: str) -> Column:
     return F.nullif(digits, F.lit("")).cast("bigint")
 
 
-def sweep_summary(threads: DataFrame, stats: DataFrame) -> DataFrame:
-    """A line for each thread count that was asked for; a run without figures
-    shows N/A."""
-    text = lambda c: F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.3f", F.col(c))).alias(c)
-    return threads.join(stats, "threads", "left").select("threads", text("wall_mean"))
+def sweep_summary(threads: DataFrame, stats: DataFrame, metrics: tuple[str, ...] = ("wall_mean",), failed: DataFrame | None = None) -> DataFrame:
+    """A line for each thread count that was asked for. A run without figures
+    shows N/A, one that is in failed(threads) ERROR."""
+    runs = threads.join(stats.select("threads", *metrics), "threads", "left")
+    bad = F.lit(False)
+    if failed is not None:
+        runs = runs.join(failed.select("threads", F.lit(True).alias("failed")).distinct(), "threads", "left")
+        bad = F.coalesce("failed", F.lit(False))
+    text = lambda c: F.when(bad, "ERROR").when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.3f", F.col(c))).alias(c)
+    return runs.select("threads", *map(text, metrics))

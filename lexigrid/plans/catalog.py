@@ -7,18 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.functions.grams import grams
+from lexigrid.functions.grams import char_grams, grams, spaced, word_grams
 from lexigrid.functions.text import FOLD_FROM, FOLD_TO, char_class, chars, clean, normalize, words
 from lexigrid.operators import compare as C
 from lexigrid.operators import counting as K
+from lexigrid.operators import sinks
 from lexigrid.operators import stats as S
-from lexigrid.sources.corpus import book_ids, from_documents
+from lexigrid.shared import work_dir, write_file
+from lexigrid.sources import corpus
+from lexigrid.sources.corpus import book_ids, from_documents, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", *more)
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", *more))
 
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
@@ -120,14 +123,98 @@ select '{name}' as name, *, mismatches + only_left + only_right = 0 as is_correc
     else matches / greatest(left_unique, right_unique) * 100.0::double end as accuracy from c"""
 
 
+def sql_compare_all(a: str, b: str) -> str:
+    """A comparison for each kind of table."""
+    one = sql_compare("languages", "select kind, ngram, frequency from a_", "select kind, ngram, frequency from b_")
+    for old, new in (("j as (select a.frequency", "j as (select coalesce(a.kind, b.kind) as kind, a.frequency"), ("on a.ngram = b.ngram", "on a.kind = b.kind and a.ngram = b.ngram"), ("c as (select count(l)", "c as (select kind, count(l)"), ("from j)", "from j group by kind)")):
+        assert old in one
+        one = one.replace(old, new)
+    return one.replace("with a as", f"with a_ as ({a}), b_ as ({b}), a as", 1)
+
+
+def sql_all(where: str) -> str:
+    return " union all ".join(f"select '{k}' as kind, ngram, frequency from ({sql_counts(*v, f'(select * from documents where {where})')})" for k, v in K.TABLES.items())
+
+
+SQL_KINDS = sql_compare_all(sql_all("lang = 'en'"), sql_all("lang <> 'en'"))
+
+
+def all_by_lang(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The four tables of English documents and of the others, each counted once."""
+    frame = docs(s, d, "lang")
+    return tuple(K.count_all(K.prepare(frame.where(c))) for c in (F.col("lang") == "en", F.col("lang") != "en"))
+
+
 def programs(s: SparkSession, d: str) -> DataFrame:
-    """Two formulations of the same counts as two programs: the regex form and
-    the token array form."""
+    """Three formulations of the four counts as three programs: batches of
+    arrays, regex scans and token arrays."""
     p = prepared(s, d)
-    arr = p.select(F.explode(grams(words(F.col("norm")), 2)).alias("ngram")).groupBy("ngram").count()
-    one = K.count_ngrams(p, "word", 2)
-    count = lambda f, name: f.agg(F.count("*").alias("total_unique")).select(F.lit(name).alias("program"), F.lit("word_bigrams").alias("kind"), "total_unique")
-    return count(one, "regex").union(count(arr, "array"))
+    norm = F.col("norm")
+    forms = {"array": lambda t, n: grams((words if t == "word" else chars)(norm), n), "regex": lambda t, n: (word_grams if t == "word" else char_grams)(norm, n)}
+    out = K.summary(K.count_all(p)).select(F.lit("batch").alias("program"), "kind", "total_unique")
+    for name, form in forms.items():
+        for kind, (t, n) in K.TABLES.items():
+            text = spaced(F.col("g")) if (name, t) == ("regex", "char") else F.col("g")
+            unique = p.select(F.explode(form(t, n)).alias("g")).distinct().select(text.alias("g")).distinct()
+            out = out.union(unique.agg(F.count("*").alias("total_unique")).select(F.lit(name), F.lit(kind), "total_unique"))
+    return out
+
+
+# The four counts in two formulations: lists of n-grams, and tokens with those after them.
+SQL_AGREE = "with l as (select kind, count(*) as n from ({all}) group by kind), ".format(all=SQL_ALL) + "".join(
+    f"{t}_t as (select doc_id, unnest(range(1, len(a) + 1)) as i, unnest(a) as w from (select doc_id, {form.format(n=sql_norm())} as a from documents)), "
+    f"{t}_n as (select w, lead(w) over x as w2, lead(w, 2) over x as w3 from {t}_t window x as (partition by doc_id order by i)), "
+    for t, form in (("word", WORDS), ("char", CHARS))
+) + "t as (" + " union all ".join(
+    f"select '{k}' as kind, count(*) as n from (select distinct {', '.join(('w', 'w2', 'w3')[:n])} from {t}_n where w{n} is not null)" for k, (t, n) in K.TABLES.items()
+) + """), p as (select 'array' as program, * from l union all select 'batch', * from t union all select 'regex', * from t),
+f as (select kind, min_by(n, program) as first from p group by kind)
+select program, bool_and(n = first) as agrees from p join f using (kind) group by program"""
+
+# Small files as a corpus folder holds them; two are no part of it, and one is empty.
+FILES = {"a.txt": "one  line\n\ttwo\r\n", "b.txt": "", "c.md": "not read", "sub/d.txt": "not read", "é.txt": "café"}
+
+
+def corpus_files(s: SparkSession, d: str) -> DataFrame:
+    """Files written to the shared folder, listed and read whole."""
+    root = work_dir(s, "files")
+    for name, text in FILES.items():
+        write_file(s, f"{root}/{name}", text)
+    got = corpus.read_corpus(s, root)
+    return got.select(F.url_decode(F.regexp_extract("doc_id", "([^/]*)$", 1)).alias("file"), "text")
+
+
+def csv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """A table written as CSV to the shared folder and read back."""
+    path = work_dir(s, "table")
+    sinks.write_exact(counts("word", 2)(s, d), path)
+    return corpus.read_ngram_csv(s, path)
+
+
+def csv_odd_lines(s: SparkSession, d: str) -> DataFrame:
+    path = work_dir(s, "table")
+    write_file(s, f"{path}/t.csv", 'ngram,frequency\n"a b",3\n"c d",x\n"a b",2\n"e f",12 \n"g h",\n\n"ngram",7\n')
+    return corpus.read_ngram_csv(s, path).unionByName(corpus.read_ngram_csv(s, f"{path}/none"))
+
+
+def stats_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Run statistics written in either form to folders of runs, found again."""
+    root = work_dir(s, "runs")
+    stats = S.run_stats(s.createDataFrame(RUNS, "run int, wall double, cpu double, warmup boolean"))
+    for k, write in ((2, sinks.write_stats), (4, sinks.write_stats_text)):
+        row = stats.withColumns({"threads": F.lit(k), **{c: F.lit(10 * k + i) for i, c in enumerate(K.TABLES)}}).select(*corpus.METRICS)
+        write(row, f"{root}/threads_{k}/performance_stats.{'csv' if k == 2 else 'txt'}")
+    return corpus.discover_runs(s, root).select(*[F.round(c, 9).alias(c) if c.endswith(("mean", "min", "max", "std", "cv")) else F.col(c) for c in corpus.METRICS])
+
+
+def thread_counts(s: SparkSession, d: str) -> DataFrame:
+    out = []
+    for text in ("1", " 8 ", "1000", "0", "1001", "-3", "x", "2.5", ""):
+        try:
+            out.append((text, corpus.thread_count(text)))
+        except ValueError:
+            out.append((text, None))
+    return s.createDataFrame(out, "text string, threads int").coalesce(1)
 
 
 def catalog() -> dict[str, tuple[Query, str]]:
@@ -170,11 +257,12 @@ def catalog() -> dict[str, tuple[Query, str]]:
         f"select ngram, frequency, string_split(ngram, ' ')[1] as token_1, string_split(ngram, ' ')[2] as token_2, string_split(ngram, ' ')[3] as token_3, cast(len(string_split(ngram, ' ')) as integer) as length from ({sql_counts('word', 3)})",
     )
     q["total_count"] = (lambda s, d: counts("word", 2)(s, d).agg(F.count("*").alias("total_unique"), F.sum("frequency").alias("total_count")), f"select count(*) as total_unique, cast(sum(frequency) as bigint) as total_count from ({sql_counts('word', 2)})")
-    q["compare_same"] = (lambda s, d: C.compare("same", counts("word", 2)(s, d), counts("word", 2)(s, d)), sql_compare("same", sql_counts("word", 2), sql_counts("word", 2)))
+    q["compare_same"] = (lambda s, d: (lambda one: C.compare("same", one, one))(counts("word", 2)(s, d)), sql_compare("same", sql_counts("word", 2), sql_counts("word", 2)))
+    q["compare_kinds"] = (lambda s, d: C.compare("languages", *all_by_lang(s, d), "kind"), SQL_KINDS)
     q["compare_languages"] = (lambda s, d: C.compare("languages", by_lang(s, d, True), by_lang(s, d, False)), sql_compare("languages", EN, REST))
     q["compare_verdict"] = (
-        lambda s, d: C.verdict(C.compare("languages", by_lang(s, d, True), by_lang(s, d, False)).union(C.compare("same", by_lang(s, d, True), by_lang(s, d, True)))),
-        f"""with v as (select * from ({sql_compare('languages', EN, REST)}) union all select * from ({sql_compare('same', EN, EN)})),
+        lambda s, d: C.verdict(C.compare("languages", *all_by_lang(s, d), "kind")),
+        f"""with v as ({SQL_KINDS}),
         s as (select cast(sum(matches) as bigint) as matches, cast(sum(mismatches + only_left + only_right) as bigint) as errors, bool_and(is_correct) as is_correct from v)
         select *, case when matches + errors = 0 then 100.0::double else matches / (matches + errors) * 100.0::double end as accuracy from s""",
     )
@@ -185,7 +273,7 @@ def catalog() -> dict[str, tuple[Query, str]]:
         select ngram, left_freq, right_freq, status, cast(rank as integer) as rank from (select *, row_number() over (partition by status order by ngram) as rank from c where status <> 'match') where rank <= 5""",
     )
     q["compare_missing"] = (lambda s, d: C.missing(by_lang(s, d, True), by_lang(s, d, False)), f"select * from ({REST}) where ngram not in (select ngram from ({EN}))")
-    q["program_agreement"] = (lambda s, d: C.agreement(programs(s, d)), "select * from (values ('array', true), ('regex', true)) as t(program, agrees)")
+    q["program_agreement"] = (lambda s, d: C.agreement(programs(s, d)), SQL_AGREE)
     q["run_stats"] = (
         lambda s, d: S.run_stats(s.createDataFrame(RUNS, "run int, wall double, cpu double, warmup boolean").coalesce(1)),
         "select " + ", ".join(f"avg({c}) as {c}_mean, min({c}) as {c}_min, max({c}) as {c}_max, stddev_pop({c}) as {c}_std, stddev_pop({c}) / avg({c}) * 100 as {c}_cv" for c in ("wall", "cpu")) + f" from {SQL_RUNS} where not warmup",
@@ -200,11 +288,23 @@ def catalog() -> dict[str, tuple[Query, str]]:
     few = {k: v for k, v in SOA.items() if k > 8} | {120: 15.9}
     q["common_threads"] = (lambda s, d: S.common_threads(layout(s, AOS), layout(s, few)), f"select threads from {sql_layout(AOS, 'a')} intersect select threads from {sql_layout(few, 'b')} order by threads")
     q["all_threads"] = (lambda s, d: S.all_threads(layout(s, AOS), layout(s, few)), f"select threads from {sql_layout(AOS, 'a')} union select threads from {sql_layout(few, 'b')} order by threads")
-    asked = [1, 2, 3, 4, 120]
+    asked, failed = [1, 2, 3, 4, 8, 120], [3, 8]
     q["sweep_summary"] = (
-        lambda s, d: S.sweep_summary(s.createDataFrame([(n,) for n in asked], "threads int"), layout(s, AOS)),
-        f"select threads, coalesce(printf('%.3f', wall_mean), 'N/A') as wall_mean from (select unnest({asked}) as threads) left join {sql_layout(AOS, 'a')} using (threads)",
+        lambda s, d: S.sweep_summary(s.createDataFrame([(n,) for n in asked], "threads int"), S.speedup(layout(s, AOS), s.createDataFrame([(BASE,)], "base double")), ("wall_mean", "speedup"), s.createDataFrame([(n,) for n in failed], "threads int")),
+        f"""select threads, case when list_contains({failed}, threads) then 'ERROR' else coalesce(printf('%.3f', wall_mean), 'N/A') end as wall_mean,
+        case when list_contains({failed}, threads) then 'ERROR' else coalesce(printf('%.3f', {BASE}::double / wall_mean), 'N/A') end as speedup
+        from (select unnest({asked}) as threads) left join {sql_layout(AOS, 'a')} using (threads)""",
+    )
+    files = ", ".join("('{}', {})".format(k, " || ".join(["''"] + [f"chr({ord(c)})" for c in v])) for k, v in FILES.items() if v and k.endswith(".txt") and "/" not in k)
+    q["corpus_files"] = (corpus_files, f"select * from (values {files}) as t(file, text)")
+    q["csv_round_trip"] = (csv_round_trip, sql_counts("word", 2))
+    q["csv_odd_lines"] = (csv_odd_lines, "select * from (values ('a b', 2::bigint), ('e f', 12), ('ngram', 7)) as t(ngram, frequency)")
+    times = ", ".join(f"round({f}, 9) as {c}_{m}" for c in ("wall", "cpu") for m, f in (("mean", f"avg({c})"), ("min", f"min({c})"), ("max", f"max({c})"), ("std", f"stddev_pop({c})"), ("cv", f"stddev_pop({c}) / avg({c}) * 100")))
+    q["stats_round_trip"] = (
+        stats_round_trip,
+        f"select k::bigint as threads, {times}, " + ", ".join(f"(10 * k + {i})::bigint as {c}" for i, c in enumerate(K.TABLES)) + f" from {SQL_RUNS}, (values (2), (4)) as n(k) where not warmup group by k",
     )
+    q["thread_counts"] = (thread_counts, "select text, case when regexp_matches(trim(text), '^[0-9]+$') and try_cast(text as int) between 1 and 1000 then try_cast(text as int) end as threads from (values ('1'), (' 8 '), ('1000'), ('0'), ('1001'), ('-3'), ('x'), ('2.5'), ('')) as t(text)")
     q["book_ids"] = (lambda s, d: book_ids(s, [1342, 84, 11, 98, 2701], 1500), "select distinct book_id from (select unnest([1342, 84, 11, 98, 2701]) as book_id union all select unnest(range(1, 1501))) order by book_id")
     q["first_number"] = (
         lambda s, d: rows(s, ["runs: 12 of 40", "none", "a1b2 33"]).select("id", S.first_number("text").alias("number")),

@@ -117,3 +117,61 @@ def test_stream(spark, tmp_path):
 
 def test_tables():
     assert list(TABLES) == list(UNIQUE)
+
+
+@pytest.mark.parametrize("buffer", [40, 10**7])
+def test_batches_against_arrays(spark, monkeypatch, buffer):
+    """Counts of batches against counts of arrays, n by n, over odd texts."""
+    from lexigrid.functions import batches
+    from lexigrid.functions.text import chars
+
+    texts = ["the cat the cat", "", None, "  a  b ", "a", "x" * 3000, "b a\tthe", "Ünïcode ß 12 a-b", "the cat", " "]
+    p = prepare(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2))
+    monkeypatch.setattr(batches, "BUFFER", buffer)
+    for kind, tokens in (("word", words), ("char", chars)):
+        for n in (1, 2, 3, 4, 6):
+            want = p.select(F.explode(grams(tokens(F.col("norm")), n)).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("frequency"))
+            got = compare("forms", count_ngrams(p, kind, n), want).first()
+            assert got.is_correct and got.left_unique == want.count(), (kind, n)
+
+
+def test_spread(spark, monkeypatch, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    parts = lambda df: df.groupBy(F.spark_partition_id()).count().count()
+    assert parts(one) == 1 and parts(corpus.spread(one)) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(corpus, "SMALL", 0)
+    assert parts(corpus.spread(one)) == 1
+
+
+def test_benchmark_job(spark, tmp_path):
+    from lexigrid.plans.job import benchmark_job
+
+    docs = spark.createDataFrame([(1, GOLDEN)], "doc_id int, text string")
+    benchmark_job(spark, docs, str(tmp_path), runs=2, warmup=1)
+    got = corpus.discover_runs(spark, str(tmp_path)).first()
+    assert got.threads == spark.sparkContext.defaultParallelism and got.wall_min <= got.wall_mean <= got.wall_max
+    assert {k: got[k] for k in UNIQUE} == {k: v[0] for k, v in UNIQUE.items()}
+
+
+def test_progress():
+    from lexigrid.operators.sinks import progress
+
+    assert progress(0, 12, 1.234, 2.0, True) == "[Run 1/12 WARM-UP] 1.23s (cpu: 2.00s)"
+
+
+def test_normalize_all_ascii(spark):
+    """Every ASCII character and some others, in both modes, one by one."""
+    some = [chr(i) for i in range(1, 128)] + list("ÀéîÕüñÇßÆ—’İ漢😀")
+    df = spark.createDataFrame([(c,) for c in some], "t string")
+    for punct in ("space", "drop"):
+        for r in df.select("t", normalize(F.col("t"), punct).alias("n")).collect():
+            c = r.t
+            fold = dict(zip("ÀéîÕüñÇ", "aeiounc", strict=True)).get(c, c)
+            if fold.isascii() and fold.isalpha():
+                want = fold.lower()
+            elif c in " \t\n\r" or (punct == "space" and c.isascii() and c.isprintable() and not c.isalnum()):
+                want = " "
+            else:
+                want = ""
+            assert r.n == want, (punct, c)
