@@ -2,44 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.shared import bound_batches, work_dir
+
 #: A word is a run of any characters but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ids that may be broadcast: 8 bytes each, so about 16 MB of data.
 BROADCAST_IDS = 1_000_000
+#: Rows with strings or arrays that may be broadcast, by their bytes.
+BROADCAST_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share;
-    where the setting is unset (local tests) a temporary one is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrid-"))
-    return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
-
-
-#: Folders that this process has asked for.
+#: Folders of scratch tables that this process has asked for.
 MADE: list[str] = []
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    MADE.append(f"{shared_dir(spark)}/lexigrid-{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes all of them, for when no result that reads them is needed any
-    more: results are lazy and read the written tables."""
-    while MADE:
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the scratch tables, or those of all operators called since
+    ``len(MADE)`` was ``since``. For when the results that read them are
+    written or no longer needed: results are lazy and read these tables."""
+    while len(MADE) > since:
         delete(spark, MADE.pop())
 
 
@@ -49,12 +34,22 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, work_dir(spark, name), 0
+        self.paths: list[tuple[DataFrame, str]] = []
+        MADE.append(self.root)
+        bound_batches(spark)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self.paths[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that save() returned and nothing reads any more."""
+        for df, path in [x for x in self.paths if any(x[0] is t for t in tables)]:
+            delete(self.spark, path)
+            self.paths.remove((df, path))
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -72,6 +67,49 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(names: list[str], wanted: str) -> str:
+    """``wanted``, with underscores added until no column of ``names`` has it
+    (Spark compares names without case)."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def aside(docs: DataFrame, *seen: str) -> tuple[DataFrame, list[Column]]:
+    """docs with every column but ``seen`` under a name that no operator uses,
+    and the columns that select all of them back, in order."""
+    told = {c: c if c in seen else f"aside{i}" for i, c in enumerate(docs.columns)}
+    return docs.select([F.col(f"`{c}`").alias(t) for c, t in told.items()]), [F.col(t).alias(c) for c, t in told.items()]
+
+
+def input_bytes(docs: DataFrame, column: str = "text") -> int:
+    """About how many bytes the column holds: the size of the files that are
+    read, by the optimizer's statistics, else (rows of the driver, results of
+    Python) by a scan."""
+    known = int(str(docs.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 50:
+        return known
+    return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+
+
+def pieces(size: int, each: int, least: int = 64) -> int:
+    """A power of two: as many pieces of ``each`` bytes as there are."""
+    return 1 << max(least - 1, -(-size // each) - 1).bit_length()
+
+
+def bounded(df: DataFrame, limit: int) -> DataFrame:
+    """Rows of a few numbers, marked for broadcast if they are at most ``limit``."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def bounded_bytes(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if the rows' sizes sum to at most
+    ``limit``."""
+    total = df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= limit else df
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, all else unchanged."""
     return F.translate(c, UPPER, LOWER)

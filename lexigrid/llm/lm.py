@@ -3,9 +3,17 @@
 Counts are quantised, q(c) = 1 + floor(log2 c), and an n-gram enters the
 filter q times, together with 1, 2, .., q; it is read back by probing 1, 2, ..
 until one is missing (Talbot and Osborne 2007). The filter is cut into regions
-by the n-gram's hash, so each reducer builds its own region. Where every region
-fits its share of FILTER_BITS the filter is broadcast; else regions are sized by
-their entries, stay written tables and are probed by a join."""
+by the n-gram's hash, so each reducer builds its own region, sized by its
+entries. Where all of them together fit FILTER_BITS the filter is broadcast;
+else the regions stay written tables and are probed by a join.
+
+With m(x) the middle of x's level, 0 for n-grams that were not seen:
+
+    P(w | u) = (m(u w) + kappa * P(w)) / (M(u) + kappa)
+    P(w) = (m(w) + 1) / M,  M = sum of m + V + 1
+
+M(u) is the sum of m(u w) over all w that followed u, kept next to u's exact
+count. So the probabilities after any u sum to 1, unseen words being one."""
 
 from __future__ import annotations
 
@@ -15,21 +23,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import Scratch, free_shuffles
+from lexigrid.llm.common import Scratch, free_shuffles, input_bytes, pieces
 from lexigrid.llm.spans import POLY, U64, Words, flat, mix, slices
 
 #: Size of a filter that is broadcast: 64 MB. A larger one is joined.
 FILTER_BITS = 1 << 29
 #: Bits an entry needs at least, and hash functions.
 BITS_PER_ENTRY, HASHES = 8, 6
-#: Words whose exact counts may be broadcast (12 bytes each); beyond it the
-#: base score is a shuffled join.
-BROADCAST_VOCAB = 5_000_000
+#: Bytes of input to a region, which one task builds.
+REGION_BYTES = 8 << 20
+#: Words whose exact counts and sums may be broadcast (20 bytes each); beyond
+#: it they are joined.
+BROADCAST_VOCAB = 4_000_000
 #: Tokens counted in one buffer before they are sent.
-BUFFER = 2_000_000
+BUFFER = 1_000_000
+#: Tokens of a chunk of documents that is scored by a join.
+CHUNK = 700_000
 #: Weight of the unigram estimate against a context's count; most bigrams of a
 #: new text are unseen, so it is large.
 KAPPA = 100.0
@@ -69,12 +82,13 @@ def level_count(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, (2.0 ** np.maximum(q - 1, 0) + 2.0**q - 1) / 2, 0.0)
 
 
-def positions(key: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """Bit of each key inside its region, for each hash function."""
+def positions(key: np.ndarray, level: int, bits: int | np.ndarray) -> Iterator[np.ndarray]:
+    """Bit of each key inside its region of so many bits, for each hash function."""
+    last = U64(bits - 1) if isinstance(bits, int) else (bits - 1).astype(U64)
     a = mix(key * POLY + U64(level))
     b = mix(a) | U64(1)
     for _ in range(HASHES):
-        yield (a & U64(bits - 1)).astype(np.int64)
+        yield (a & last).astype(np.int64)
         a = a + b
 
 
@@ -83,23 +97,15 @@ def key_of(h: np.ndarray, regions: int) -> np.ndarray:
     return region_of(h, regions).astype(U64) << LOW_BITS | h & U64((1 << 40) - 1)
 
 
-def bits_for(count: np.ndarray, least: int) -> int:
-    """Bits of a region for all entries of these counts: ``least``, doubled
-    until they fit."""
-    need = int(levels(count).sum()) * BITS_PER_ENTRY
-    while least < need:
-        least *= 2
-    return least
+def bits_for(count: np.ndarray, each: int = BITS_PER_ENTRY) -> int:
+    """Bits of a region for all entries of these counts, a power of two: at
+    least ``each`` to an entry."""
+    return max(64, 1 << (int(levels(count).sum()) * each - 1).bit_length())
 
 
-def build_region(key: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """(bytes of a region, cutoff). If its entries would need more than the
-    region has, the n-grams of the smallest counts, up to the cutoff, are left
-    out; train() gives each region what bits_for() says, so none are."""
-    q, cutoff = levels(count), 0
-    while q[count > cutoff].sum() * BITS_PER_ENTRY > bits:
-        cutoff = int(count[count > cutoff].min())
-    key, q = key[count > cutoff], q[count > cutoff]
+def build_region(key: np.ndarray, count: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of a region that holds all n-grams of these keys and counts."""
+    q = levels(count)
     out = np.zeros(bits, bool)
     level = 1
     while len(key):
@@ -107,29 +113,29 @@ def build_region(key: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.ndar
             out[at] = True
         level += 1
         key, q = key[q >= level], q[q >= level]
-    return np.packbits(out, bitorder="little"), cutoff
+    return np.packbits(out, bitorder="little")
 
 
-@dataclass
 class Filter:
-    bits: np.ndarray
-    regions: int
+    """Regions of ``sizes`` bits (0: no n-gram), one after the other."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+        self.bits, self.sizes, self.base = bits, sizes, np.cumsum(sizes) - sizes
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Quantised count of each n-gram hash."""
-        return level_count(self.levels(key_of(h, self.regions), region_of(h, self.regions)))
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Level of each n-gram hash."""
+        return self.levels(key_of(h, len(self.sizes)), region_of(h, len(self.sizes)))
 
     def levels(self, key: np.ndarray, region: np.ndarray) -> np.ndarray:
         """Level of each key in its region, by repeated probes."""
-        size = len(self.bits) * 8 // self.regions
-        base = region * size
+        size, base = self.sizes[region], self.base[region]
         q = np.zeros(len(key), np.int64)
-        live = np.arange(len(key))
+        live = np.flatnonzero(size)
         level = 1
         while len(live):
             sub = live
             keep = np.arange(len(live))
-            for at in positions(key[live], level, size):
+            for at in positions(key[live], level, size[live]):
                 at = at[keep] + base[sub]
                 hit = self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
                 keep, sub = keep[hit], sub[hit]
@@ -143,36 +149,36 @@ class Filter:
 
 @dataclass
 class Model:
-    filter: Filter | None  # None if it is larger than a broadcast
+    filter: Broadcast | None  # bits and sizes of the regions; None if these or the words are too many
     regions: int
-    tables: DataFrame  # (region, bits, h, c): regions and exact counts of their words, written
+    tables: DataFrame | None  # if so, (region, bits, h, c, m): regions with counts and sums of their words
     n: int  # tokens in training
     v: int  # distinct ones
-    words: DataFrame  # (h, c) of the exact counts, written
+    mass: float  # M
+    words: DataFrame  # (h, c, m) of all words
 
 
 def count_rows(regions: int):
-    """Maps texts to rows (region, kind, keys, counts): what a buffer of
-    tokens holds of each region. kind 0: words (whole hashes); 1: bigrams (the
-    low 40 bits, as 4 bytes and 1)."""
+    """Maps texts to rows (region, kind, keys, more, counts, first): what a
+    buffer of tokens holds of each region. kind 0: words (whole hashes); 1:
+    bigrams (the low 40 bits, as 4 bytes and 1), with the hashes of their first
+    words."""
 
     def send(buffer: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tok = np.concatenate(buffer)
-        out: dict[str, list] = {"region": [], "kind": [], "keys": [], "more": [], "counts": []}
+        before = np.append(END, tok[:-1])
+        out: dict[str, list] = {"region": [], "kind": [], "keys": [], "more": [], "counts": [], "first": []}
         for kind, h in enumerate((tok, bigrams(tok))):
-            u, c = np.unique(h, return_counts=True)  # sorted, so regions are runs
+            u, at, c = np.unique(h, return_index=True, return_counts=True)  # sorted, so regions are runs
             cut = np.searchsorted(region_of(u, regions), np.arange(regions + 1))
             low = (u & U64(0xFFFFFFFF)).astype(np.uint32)
             mid = (u >> U64(32) & U64(0xFF)).astype(np.uint8)
-            for r in range(regions):
-                i, j = cut[r], cut[r + 1]
-                if i < j:
-                    out["region"].append(r)
-                    out["kind"].append(kind)
-                    out["keys"].append((u if kind == 0 else low)[i:j].tobytes())
-                    out["more"].append(b"" if kind == 0 else mid[i:j].tobytes())
-                    out["counts"].append(c[i:j].astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("region", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())]))
+            first = before[at]
+            for r in np.flatnonzero(np.diff(cut)):
+                part = slice(cut[r], cut[r + 1])
+                for k, v in (("region", int(r)), ("kind", kind), ("keys", (low if kind else u)[part].tobytes()), ("more", mid[part].tobytes() if kind else b""), ("counts", c[part].astype(np.uint32).tobytes()), ("first", first[part].tobytes() if kind else b"")):
+                    out[k].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("region", pa.int32()), ("kind", pa.int32()), *[(k, pa.binary()) for k in ("keys", "more", "counts", "first")]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer, size = [], 0
@@ -190,144 +196,134 @@ def count_rows(regions: int):
     return run
 
 
-def train(docs: DataFrame, filter_bits: int = FILTER_BITS, regions: int | None = None) -> Model:
+def train(docs: DataFrame, filter_bits: int = FILTER_BITS, regions: int | None = None, vocab_limit: int = BROADCAST_VOCAB, entry_bits: int = BITS_PER_ENTRY) -> Model:
     """Counts all words and bigrams of docs(text) and builds the filter. Every
-    n-gram is in it: a region whose entries need more than its share of
-    ``filter_bits`` grows, and the filter is then not broadcast."""
+    n-gram is in it, whatever its size; it is broadcast, with the words, if it
+    has at most ``filter_bits`` and there are at most ``vocab_limit`` words.
+    Null and empty texts are an end each; repeated rows count as often as they
+    stand there; other columns are not looked at; no rows make an empty model."""
     spark = docs.sparkSession
     if regions is None:
-        regions = 1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    bits = filter_bits // regions
+        regions = pieces(input_bytes(docs), REGION_BYTES)
     scratch = Scratch(spark, "lm")
 
     def merge(table: pa.Table) -> pa.Table:
         region = table.column("region")[0].as_py()
         keys, counts = [], []
-        exact = (np.zeros(0, U64), np.zeros(0, np.int64))
+        out = {k: np.zeros(0, t) for k, t in (("h", U64), ("c", np.int64), ("u", U64), ("m", np.float64))}
         for kind in (0, 1):
             rows = table.filter(pa.array(table.column("kind").to_numpy() == kind))
             read = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)  # noqa: B023, E731
-            h, c = read("keys", np.uint64 if kind == 0 else np.uint32).astype(U64), read("counts", np.uint32)
+            h, c = read("keys", np.uint32 if kind else U64).astype(U64), read("counts", np.uint32)
+            if not len(h):
+                continue
             if kind:
                 h = h | read("more", np.uint8).astype(U64) << U64(32)
             order = np.argsort(h, kind="stable")
             h, c = h[order], c[order].astype(np.int64)
-            start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            h, c = h[start], np.add.reduceat(c, start) if len(h) else c
-            if kind == 0:
-                exact = (h, c)
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            h, c = h[start], np.add.reduceat(c, start)
+            if kind:
+                first = read("first", U64)[order][start]
+                out["u"], inv = np.unique(first, return_inverse=True)
+                out["m"] = np.bincount(inv, weights=level_count(levels(c)))
+            else:
+                out["h"], out["c"] = h, c
             keys.append(U64(region) << LOW_BITS | h & U64((1 << 40) - 1))
             counts.append(c)
         count = np.concatenate(counts)
-        data, _ = build_region(np.concatenate(keys), count, bits_for(count, bits))
-        return pa.table({"region": pa.array([region], pa.int32()), "bits": pa.array([data.tobytes()], pa.binary()), "h": pa.array([exact[0].astype(np.int64)], pa.list_(pa.int64())), "c": pa.array([exact[1]], pa.list_(pa.int64()))})
-
-    sent = docs.select("text").mapInArrow(count_rows(regions), "region int, kind int, keys binary, more binary, counts binary")
-    merged = scratch.save(sent.groupBy("region").applyInArrow(merge, "region int, bits binary, h array<bigint>, c array<bigint>"))
-    whole = None
-    if merged.where(F.octet_length("bits") > bits // 8).isEmpty():
-        whole = np.zeros(filter_bits // 8, np.uint8)
-        for r in merged.select("region", "bits").toLocalIterator():
-            whole[r.region * (bits // 8) : (r.region + 1) * (bits // 8)] = np.frombuffer(r.bits, np.uint8)
-    words = merged.select(F.explode(F.arrays_zip("h", "c")).alias("x")).select("x.h", "x.c")
+        data, mass = build_region(np.concatenate(keys), count, bits_for(count, entry_bits)), level_count(levels(out["c"])).sum()
+        lists = {k: pa.array([v.astype(np.int64) if v.dtype == U64 else v], pa.list_(pa.float64() if k == "m" else pa.int64())) for k, v in out.items()}
+        return pa.table({"region": pa.array([region], pa.int32()), "mass": pa.array([mass], pa.float64()), "bits": pa.array([data.tobytes()], pa.binary()), **lists})
+
+    sent = docs.select("text").mapInArrow(count_rows(regions), "region int, kind int, keys binary, more binary, counts binary, first binary")
+    merged = scratch.save(sent.groupBy("region").applyInArrow(merge, "region int, mass double, bits binary, h array<bigint>, c array<bigint>, u array<bigint>, m array<double>"))
+    free_shuffles(spark)
+    # a word's followers are spread over the regions; every word has some, an
+    # end at least
+    sums = merged.select(F.explode(F.arrays_zip("u", "m")).alias("x")).groupBy(F.col("x.u").alias("h")).agg(F.sum("x.m").alias("m"))
+    words = merged.select("region", F.explode(F.arrays_zip("h", "c")).alias("x")).select("region", "x.h", "x.c")
+    words = scratch.save(words.join(sums, "h").select("region", "h", "c", "m"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    return Model(None if whole is None else Filter(whole, regions), regions, merged, n, v, words)
+    size, mass = merged.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
+    shared = tables = None
+    if 8 * size <= filter_bits and v <= vocab_limit:
+        sizes, parts = np.zeros(regions, np.int64), {}
+        for r in merged.select("region", "bits").toLocalIterator():
+            sizes[r.region], parts[r.region] = 8 * len(r.bits), r.bits
+        shared = spark.sparkContext.broadcast((np.frombuffer(b"".join(parts[k] for k in sorted(parts)), np.uint8), sizes))
+        del parts
+        scratch.drop(merged)
+    else:
+        # lists of a region's words, by hash
+        lists = words.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("h", "c", "m"))).alias("s"))
+        tables = merged.select("region", "bits").join(lists, "region", "left").select("region", "bits", *[F.col(f"s.{k}").alias(k) for k in ("h", "c", "m")])
+    free_shuffles(spark)
+    return Model(shared, regions, tables, n, v, mass + v + 1, words.select("h", "c", "m"))
 
 
-def log_probs(two: np.ndarray, c1: np.ndarray, before: np.ndarray, kappa: float, total: float) -> np.ndarray:
-    """log10 of each token's probability after the one before."""
-    return np.log10((two + kappa * (c1 + 1) / total) / (np.maximum(before, two) + kappa))
+def log_probs(two: np.ndarray, one: np.ndarray, after: np.ndarray, kappa: float, mass: float) -> np.ndarray:
+    """log10 of each token's probability: from the levels of the pair and of
+    the token, and the sum M(u) after the token before."""
+    return np.log10((level_count(two) + kappa * (level_count(one) + 1) / mass) / (after + kappa))
 
 
-def score(docs: DataFrame, model: Model, kappa: float = KAPPA, vocab_limit: int = BROADCAST_VOCAB) -> DataFrame:
+ADDED = ("n_tokens", "n_known", "base_score", "score")
+
+
+def score(docs: DataFrame, model: Model, kappa: float = KAPPA) -> DataFrame:
     """docs (its other columns, without text) with n_tokens, n_known,
-    base_score and score. A null text is empty and has the end alone."""
+    base_score and score. A null text is empty and has the end alone. Repeated
+    rows are scored alike. Columns of docs that have an added name are replaced."""
+    docs = docs.drop(*ADDED)
     if model.filter is None:
         return score_by_regions(docs, model, kappa)
-    spark = docs.sparkSession
-    total = model.n + model.v + 1.0
+    total, mass, filter_ = model.n + model.v + 1.0, model.mass, model.filter
     kept = [c for c in docs.columns if c != "text"]
-    small = model.v <= vocab_limit
-    if small:
-        got = model.words.orderBy("h").toArrow()  # sorted there, so that the driver holds one copy
-        h, c = got["h"].to_numpy(), got["c"].to_numpy()
-        del got
-        shared = spark.sparkContext.broadcast((model.filter.bits, h, c.astype(np.uint32) if not len(c) or c.max() < 1 << 32 else c))
-        del h, c
-    else:
-        shared = spark.sparkContext.broadcast((model.filter.bits, None, None))
-    regions = model.filter.regions
+    # sorted and narrowed there, so that the driver holds one small copy
+    count = "int" if model.n < 1 << 31 else "bigint"
+    got = model.words.select("h", F.col("c").cast(count), F.col("m").cast("float")).orderBy("h").toArrow()
+    columns = []
+    while got.num_columns:
+        columns.append(got.column(0).to_numpy())
+        got = got.remove_column(0)
+    shared = docs.sparkSession.sparkContext.broadcast(columns)
+    del columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, words, counts = shared.value
-        lm = Filter(bits, regions)
+        words, counts, sums = shared.value
+        lm = Filter(*filter_.value)
+
+        def exact(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(count, sum of what follows) of words."""
+            signed = h.astype(np.int64)
+            at = np.minimum(np.searchsorted(words, signed), max(len(words) - 1, 0))
+            known = words[at] == signed if len(words) else np.zeros(len(h), bool)
+            return (np.where(known, x[at].astype(np.float64), 0.0) if len(words) else np.zeros(len(h)) for x in (counts, sums))
+
         for whole in batches:
             for b in slices(whole, "text"):
                 tok, row = tokens(*flat(b.column(b.schema.get_field_index("text"))))
-                rows = b.num_rows
-                n_tokens = np.bincount(row, minlength=rows)
+                sum_of = lambda w: np.bincount(row, weights=w, minlength=b.num_rows)  # noqa: B023, E731
                 u, inv = np.unique(tok, return_inverse=True)
-                one = lm.counts(u)
                 pair, pair_inv = np.unique(bigrams(tok), return_inverse=True)
-                two = lm.counts(pair)[pair_inv]
-                c1 = one[inv]
-                before = np.append(lm.counts(np.array([END])), c1[:-1])  # a row's first token follows an end
-                score = np.bincount(row, weights=log_probs(two, c1, before, kappa, total), minlength=rows)
-                if words is not None:
-                    signed = u.astype(np.int64)
-                    at = np.minimum(np.searchsorted(words, signed), max(len(words) - 1, 0))
-                    c = np.where(words[at] == signed, counts[at], 0) if len(words) else np.zeros(len(u))
-                    c = c[inv].astype(np.float64)
-                    known, base = np.bincount(row, weights=c > 0, minlength=rows), np.bincount(row, weights=np.log10((c + 1) / total), minlength=rows)
-                else:
-                    known = base = np.zeros(rows)
-                named = [b.column(b.schema.get_field_index(k)) for k in kept]
-                yield pa.RecordBatch.from_arrays([*named, pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(score)], [*kept, "n_tokens", "n_known", "base_score", "score"])
-
-    fields = "".join(f"`{k}` {t}, " for k, t in docs.drop("text").dtypes)
-    schema = fields + "n_tokens bigint, n_known bigint, base_score double, score double"
-    if small:
-        return docs.mapInArrow(run, schema)
-    key = F.xxhash64(*[F.col(k) for k in kept], F.col("text")).alias("_row")
-    scored = docs.select(*docs.columns, key).mapInArrow(keep_row(run), schema + ", _row bigint")
-    return scored.drop("n_known", "base_score").join(base_by_join(docs.select(key, "text"), model.words, total), "_row").select(*kept, "n_tokens", "n_known", "base_score", "score")
-
-
-def keep_row(run):
-    """run with the column _row passed on, at the end."""
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text"):
-                got = pa.Table.from_batches(list(run(iter([b])))).combine_chunks()
-                yield from got.append_column("_row", b.column(b.schema.get_field_index("_row"))).to_batches()
+                one, two = lm.of(u)[inv], lm.of(pair)[pair_inv]
+                c, m = (x[inv] for x in exact(u))
+                after = np.append([*exact(np.array([END]))][1], m[:-1])  # a row's first token follows an end
+                n_tokens = np.bincount(row, minlength=b.num_rows).astype(np.int64)
+                added = [pa.array(n_tokens), pa.array(sum_of(c > 0).astype(np.int64)), pa.array(sum_of(np.log10((c + 1) / total))), pa.array(sum_of(log_probs(two, one, after, kappa, mass)))]
+                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in kept], *added], [*kept, *ADDED])
 
-    return both
+    return docs.mapInArrow(run, schema_of(docs))
 
 
-def base_by_join(rows: DataFrame, words: DataFrame, total: float) -> DataFrame:
-    """(_row, n_known, base_score) where the vocabulary is too large to
-    broadcast: a row for each distinct token of a text, joined by its hash.
-    Equal rows are scored once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text"):
-                tok, row = tokens(*flat(b.column(1)))
-                order = np.lexsort((tok, row))
-                tok, row = tok[order], row[order]
-                start = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (row[1:] != row[:-1])))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[start])), pa.array(tok[start].astype(np.int64)), pa.array(np.diff(np.append(start, len(tok))))], ["_row", "h", "tf"])
-
-    tf = rows.dropDuplicates(["_row"]).mapInArrow(run, "_row bigint, h bigint, tf bigint")
-    joined = tf.join(words, "h", "left")
-    c = F.coalesce("c", F.lit(0))
-    return joined.groupBy("_row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((c + 1) / F.lit(total))).alias("base_score"))
+def schema_of(docs: DataFrame) -> str:
+    return "".join(f"`{k}` {t}, " for k, t in docs.drop("text").dtypes) + "n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def chunk_rows():
-    """Maps texts to rows (chunk, rows): about BUFFER tokens of documents, as
-    an Arrow stream, under a random number."""
+    """Maps texts to rows (chunk, rows): about CHUNK tokens of documents, as an
+    Arrow stream, under a random number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -342,7 +338,7 @@ def chunk_rows():
             for b in slices(whole, "text"):
                 parts.append(b)
                 size += len(Words(*flat(b.column(b.schema.get_field_index("text"))))) + b.num_rows
-                if size >= BUFFER:
+                if size >= CHUNK:
                     yield send(parts)
                     parts, size = [], 0
         if parts:
@@ -386,38 +382,36 @@ def ask_rows(regions: int):
 
 
 def score_by_regions(docs: DataFrame, model: Model, kappa: float) -> DataFrame:
-    """score() where the filter is too large to broadcast. Chunks of documents
-    send their distinct n-grams to the regions and get back the levels, and of
-    words the exact counts, in the order they were sent. Nothing of the size of
-    the corpus passes through the driver."""
+    """score() where the filter or the words are too many to broadcast. Chunks
+    of documents send their distinct n-grams to the regions and get back the
+    levels, and of words the exact counts and sums, in the order they were
+    sent. Nothing of the size of the corpus passes through the driver."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    regions, total = model.regions, model.n + model.v + 1.0
+    regions, total, mass = model.regions, model.n + model.v + 1.0, model.mass
     kept = [c for c in docs.columns if c != "text"]
+    exact = {"c": np.int64, "m": np.float64}
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"chunk": [], "region": [], "kind": [], "level": [], "exact": []}
-        known = own.num_rows > 0
-        if known:  # a region of no training n-gram has no row
-            lm = Filter(np.frombuffer(own.column("bits")[0].as_py(), np.uint8), 1)
-            words, counts = (own.column(c)[0].values.to_numpy() for c in ("h", "c"))
-            order = np.argsort(words)
-            words, counts = words[order], counts[order]
+        out: dict[str, list] = {"chunk": [], "region": [], "kind": [], "level": [], "c": [], "m": []}
+        bits = np.frombuffer(own.column("bits")[0].as_py() if own.num_rows else b"", np.uint8)  # a region of no training n-gram has no row
+        lm = Filter(bits, np.array([8 * len(bits)]))
+        listed = own.num_rows > 0 and own.column("h")[0].as_py() is not None
+        words = own.column("h")[0].values.to_numpy() if listed else np.zeros(0, np.int64)
         for x in asked.to_pylist():
             if x["kind"]:
                 h = np.frombuffer(x["keys"], np.uint32).astype(U64) | np.frombuffer(x["more"], np.uint8).astype(U64) << U64(32)
             else:
                 h = np.frombuffer(x["keys"], U64)
-            level, exact = np.zeros(len(h), np.uint8), np.zeros(len(h), np.int64)
-            if known:
-                level = lm.levels(U64(x["region"]) << LOW_BITS | h & U64((1 << 40) - 1), np.zeros(len(h), np.int64)).astype(np.uint8)
-            if known and not x["kind"] and len(words):
+            level = lm.levels(U64(x["region"]) << LOW_BITS | h & U64((1 << 40) - 1), np.zeros(len(h), np.int64))
+            found = {k: np.zeros(0 if x["kind"] else len(h), t) for k, t in exact.items()}
+            if not x["kind"] and len(words):
                 signed = h.astype(np.int64)
                 at = np.minimum(np.searchsorted(words, signed), len(words) - 1)
-                exact = np.where(words[at] == signed, counts[at], 0)
-            for k, v in (("chunk", x["chunk"]), ("region", x["region"]), ("kind", x["kind"]), ("level", level.tobytes()), ("exact", b"" if x["kind"] else exact.tobytes())):
+                found = {k: np.where(words[at] == signed, own.column(k)[0].values.to_numpy()[at], 0).astype(t) for k, t in exact.items()}
+            for k, v in (("chunk", x["chunk"]), ("region", x["region"]), ("kind", x["kind"]), ("level", level.astype(np.uint8).tobytes()), *[(k, v.tobytes()) for k, v in found.items()]):
                 out[k].append(v)
-        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("region", pa.int32()), ("kind", pa.int32()), ("level", pa.binary()), ("exact", pa.binary())]))
+        return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("region", pa.int32()), ("kind", pa.int32()), *[(k, pa.binary()) for k in ("level", "c", "m")]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -426,22 +420,20 @@ def score_by_regions(docs: DataFrame, model: Model, kappa: float) -> DataFrame:
                 got = answers.as_py()  # by kind and region, which is the order of the hashes
                 read = lambda k, c, t: np.frombuffer(b"".join(x[c] for x in got if x["kind"] == k), t)  # noqa: B023, E731
                 u, inv = np.unique(tok, return_inverse=True)
-                one, exact = level_count(read(0, "level", np.uint8).astype(np.int64)), read(0, "exact", np.int64)
                 _, pair_inv = np.unique(bigrams(tok), return_inverse=True)
-                two = level_count(read(1, "level", np.uint8).astype(np.int64))[pair_inv]
-                c1, c = one[inv], exact[inv].astype(np.float64)
-                before = np.append(one[np.searchsorted(u, END)], c1[:-1])
+                one, two = read(0, "level", np.uint8).astype(np.int64)[inv], read(1, "level", np.uint8).astype(np.int64)[pair_inv]
+                c, m = read(0, "c", np.int64).astype(np.float64)[inv], read(0, "m", np.float64)
+                after = np.append(m[np.searchsorted(u, END)], m[inv][:-1])
                 sums = lambda w: np.bincount(row, weights=w, minlength=table.num_rows)  # noqa: B023, E731
                 n_tokens = np.bincount(row, minlength=table.num_rows).astype(np.int64)
-                more = [pa.array(n_tokens), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(np.log10((c + 1) / total))), pa.array(sums(log_probs(two, c1, before, kappa, total)))]
+                more = [pa.array(n_tokens), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(np.log10((c + 1) / total))), pa.array(sums(log_probs(two, one, after, kappa, mass)))]
                 named = [table.column(k).combine_chunks() for k in kept]
-                yield pa.RecordBatch.from_arrays([*named, *more], [*kept, "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([*named, *more], [*kept, *ADDED])
 
     chunks = scratch.save(docs.mapInArrow(chunk_rows(), "chunk bigint, rows binary"))
     asked = chunks.mapInArrow(ask_rows(regions), "chunk bigint, region int, kind int, keys binary, more binary")
-    answers = asked.groupBy("region").cogroup(model.tables.groupBy("region")).applyInArrow(answer, "chunk bigint, region int, kind int, level binary, exact binary")
+    answers = asked.groupBy("region").cogroup(model.tables.groupBy("region")).applyInArrow(answer, "chunk bigint, region int, kind int, level binary, c binary, m binary")
     answers = scratch.save(answers)
     free_shuffles(spark)
-    listed = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "region", "level", "exact"))).alias("answers"))
-    fields = "".join(f"`{k}` {t}, " for k, t in docs.drop("text").dtypes)
-    return chunks.join(listed, "chunk").select("rows", "answers").mapInArrow(run, fields + "n_tokens bigint, n_known bigint, base_score double, score double")
+    listed = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "region", "level", "c", "m"))).alias("answers"))
+    return chunks.join(listed, "chunk").select("rows", "answers").mapInArrow(run, schema_of(docs))

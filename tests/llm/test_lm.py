@@ -25,11 +25,11 @@ def brute(train):
 
 def test_base_score(spark):
     docs = spark.createDataFrame(ROWS, "doc_id bigint, text string").repartition(3)
-    model = lm.train(docs.where("doc_id is null or doc_id < 8"), 1 << 20)
     c, n, v, base = brute([r for r in ROWS if r[0] is None or r[0] < 8])
-    assert (model.n, model.v) == (n, v)
     for limit in (10**6, 0):
-        got = {r.doc_id: r for r in lm.score(docs, model, vocab_limit=limit).collect()}
+        model = lm.train(docs.where("doc_id is null or doc_id < 8"), vocab_limit=limit)
+        assert (model.n, model.v) == (n, v) and (model.filter is None) == (limit == 0)
+        got = {r.doc_id: r for r in lm.score(docs, model).collect()}
         assert len(got) == len(ROWS)
         for i, x in ROWS:
             assert got[i].n_tokens == len(toks(x)) and got[i].n_known == sum(c[t] > 0 for t in toks(x))
@@ -43,18 +43,79 @@ def test_filter_counts():
     h = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
     c = rng.integers(1, 200, len(h))
     regions, bits = 4, 1 << 16
-    parts = [lm.build_region(lm.key_of(h, regions)[lm.region_of(h, regions) == r], c[lm.region_of(h, regions) == r], bits) for r in range(regions)]
-    f = lm.Filter(np.concatenate([p[0] for p in parts]), regions)
-    got = f.counts(h)
-    assert (got >= lm.level_count(lm.levels(c))).all() and (got == lm.level_count(lm.levels(c))).mean() > 0.97
+    of = lm.region_of(h, regions)
+    f = lm.Filter(np.concatenate([lm.build_region(lm.key_of(h, regions)[of == r], c[of == r], bits) for r in range(regions)]), np.full(regions, bits))
+    got = f.of(h)
+    assert (got >= lm.levels(c)).all() and (got == lm.levels(c)).mean() > 0.97
     other = rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    assert (f.counts(other) > 0).mean() < 0.03
+    assert (f.of(other) > 0).mean() < 0.03
 
 
-def test_region_cutoff():
-    h = np.arange(1000, dtype=np.uint64)
-    data, cutoff = lm.build_region(h, np.repeat([1, 9], 500), 1 << 14)
-    assert cutoff == 1 and len(data) == (1 << 14) // 8
+def test_levels():
+    c = np.arange(1, 100_000)
+    m = lm.level_count(lm.levels(c))
+    assert (m / c <= 1.5).all() and (c / m <= 4 / 3).all() and lm.level_count(np.array([0]))[0] == 0
+
+
+def test_region_holds_all():
+    h, c = np.arange(1000, dtype=np.uint64), np.repeat([1, 9], 500)
+    bits = lm.bits_for(c)
+    assert bits >= lm.levels(c).sum() * lm.BITS_PER_ENTRY
+    f = lm.Filter(lm.build_region(h, c, bits), np.array([bits]))
+    assert (f.levels(h, np.zeros(1000, np.int64)) >= lm.levels(c)).all()
+
+
+def model_of(texts):
+    """score() from dictionaries: log10 P of a text, and P(w | u)."""
+    one, two = Counter(), Counter()
+    for x in texts:
+        t = toks(x)
+        one.update(t)
+        two.update(zip([None, *t[:-1]], t, strict=True))
+    m = lambda c: float(lm.level_count(lm.levels(np.array([c])))[0]) if c else 0.0
+    after = Counter()
+    for (u, _), c in two.items():
+        after[u] += m(c)
+    mass = sum(map(m, one.values())) + len(one) + 1
+
+    def p(w, u):
+        return (m(two[u, w]) + lm.KAPPA * (m(one[w]) + 1) / mass) / (after[u] + lm.KAPPA)
+
+    return one, p, lambda x: sum(math.log10(p(w, u)) for u, w in zip([None, *toks(x)[:-1]], toks(x), strict=True))
+
+
+def zipf_rows(n):
+    rng = np.random.default_rng(5)
+    return [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 300) % 5000)) for i in range(n)] + [(100, None), (101, ""), (102, "unseen words only"), (103, " W1 w1\tw1 ")]
+
+
+def test_score_brute_force(spark):
+    rows = zipf_rows(60)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    _, _, want = model_of([x for i, x in rows if i < 50])
+    for limit in (10**6, 0):
+        model = lm.train(docs.where("doc_id < 50"), vocab_limit=limit, entry_bits=200)
+        got = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+        for i, x in rows:
+            assert math.isclose(got[i], want(x), rel_tol=1e-7)
+
+
+def test_probabilities_sum_to_one(spark):
+    """After any word, unseen words being one."""
+    rows = zipf_rows(60)
+    one, p, _ = model_of([x for _, x in rows])
+    for u in [*one, "never seen"]:
+        mass = sum(p(w, u) for w in [*one, "in no text"])
+        assert math.isclose(mass, 1)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b a", 5, 6, "x", 7), (2, None, 5, 6, "y", 7), (2, None, 5, 6, "y", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int, n_tokens int, row string, _row int")
+    for limit in (10, 0):
+        got = lm.score(docs, lm.train(docs, vocab_limit=limit))
+        assert got.columns == ["doc_id", "row", "_row", "n_tokens", "n_known", "base_score", "score"]
+        assert sorted((r.doc_id, r.row, r._row, r.n_tokens) for r in got.collect()) == [(1, "x", 7, 4), (2, "y", 7, 1), (2, "y", 7, 1)]
 
 
 def test_better_than_base(spark):
@@ -66,21 +127,20 @@ def test_better_than_base(spark):
 
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    model = lm.train(docs, 1 << 16)
+    model = lm.train(docs)
     assert lm.score(docs, model).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert lm.score(one, model).first().n_tokens == 3
 
 
 def test_no_ngram_left_out(spark):
-    """Regions too small for their entries grow; the scores stay those of a
-    filter with room for all."""
-    rng = np.random.default_rng(5)
-    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 300) % 5000)) for i in range(60)] + [(100, None), (101, ""), (102, "unseen words only")]
+    """A filter too large to broadcast is joined; the scores stay the same."""
+    rows = zipf_rows(60)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     train = docs.where("doc_id < 50")
-    want = {r.doc_id: r for r in lm.score(docs, lm.train(train, 1 << 24)).collect()}
-    model = lm.train(train, 1 << 13)
+    want = {r.doc_id: r for r in lm.score(docs, lm.train(train, 1 << 24, 16)).collect()}
+    model = lm.train(train, 1 << 13, 16)
+    assert model.filter is None
     got = {r.doc_id: r for r in lm.score(docs, model).collect()}
     assert got.keys() == want.keys()
     for i, w in want.items():
