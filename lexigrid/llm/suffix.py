@@ -13,7 +13,12 @@ parts are compared: where neighbours in left order agree on at least
 length - d bytes they are one repeat, which is maximal to the right since the
 interval ends at d, and to the left since it reaches to where the left
 extensions differ. All members of the interval take part, not just neighbours
-in the array."""
+in the array.
+
+An anchor with very many contexts is no group of one task: its windows are
+taken in runs of near offsets, and contexts meet by the core that all windows
+of a run hold. Such a group needs only the few bytes around the core, in which
+the same tree is scanned."""
 
 from __future__ import annotations
 
@@ -25,17 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import Scratch, free_shuffles, keep_ids
-from lexigrid.llm.decontam import bounded
+from lexigrid.llm.common import BROADCAST_IDS, Scratch, bounded, bounded_bytes, free_shuffles, keep_ids
 from lexigrid.llm.spans import U64, flat, mix, prefix_sums, ranges_hash, slices
 
 #: Bytes of an anchor.
 K = 24
-#: Contexts of an anchor that one task takes; the windows of larger groups are
-#: counted by hash instead, spread over all tasks.
+#: Contexts of an anchor, or of a core, that one task takes. Larger anchors are
+#: split by cores; the windows of larger cores are counted by hash, spread over
+#: all tasks.
 GROUP = 20_000
-#: Positions or spans that may be broadcast.
-BROADCAST_SPANS = 2_000_000
 
 
 def sliding(x: np.ndarray, w: int, ufunc: np.ufunc, fill: int) -> np.ndarray:
@@ -222,12 +225,14 @@ def suffix_array(ctx: list[bytes], side: np.ndarray, length: int):
 
 def cover_group(ctx: list[bytes], side: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes before the anchor, and from it on, that repeats cover in each
-    context; 0 and 0 where none does. copies: occurrences of each context."""
+    context; -1 and -1 where none does. copies: occurrences of each context."""
     total = np.array([len(c) for c in ctx], np.int64)
     twin = (copies > 1) & (total >= length)
-    before, after = np.where(twin, side, 0), np.where(twin, total - side, 0)
+    before, after = np.where(twin, side, -1), np.where(twin, total - side, -1)
     if len(ctx) == 1 or twin.all():
         return before, after
+    if not length:
+        return side * 0, side * 0
     order, lcp, lcl, rank = suffix_array(ctx, side, length)
     order = np.array(order)
     for d, members, left in scan(lcp, lcl, rank):
@@ -244,94 +249,188 @@ def cover_group(ctx: list[bytes], side: np.ndarray, copies: np.ndarray, length:
 COVER = "anchor bigint, ch bigint, before bigint, after bigint"
 
 
-def cover_rows(length: int):
-    """Maps contexts sorted by anchor to COVER, a group at a time."""
+def by_group(key: str, groups):
+    """Maps batches sorted by ``key`` through groups(table), which gets tables
+    that hold whole groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
-
-        def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            anchor, ch, copies = (table.column(c).to_numpy() for c in ("anchor", "ch", "copies"))
-            side, ctx = table.column("side").to_numpy().astype(np.int64), table.column("ctx").to_pylist()
-            cut = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-            before, after = np.zeros(len(anchor), np.int64), np.zeros(len(anchor), np.int64)
-            for i, j in zip(cut, np.append(cut[1:], len(anchor)), strict=True):
-                if j - i > 1 or copies[i] > 1:
-                    before[i:j], after[i:j] = cover_group(ctx[i:j], side[i:j], copies[i:j], length)
-            hit = after > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (anchor, ch, before, after)], ["anchor", "ch", "before", "after"])
-
         for b in batches:
             if not b.num_rows:
                 continue
-            anchor = b.column("anchor").to_numpy()
-            first = int(np.searchsorted(anchor, anchor[-1]))  # the last group may go on
+            k = b.column(b.schema.get_field_index(key)).to_numpy()
+            first = int(np.searchsorted(k, k[-1]))  # the last group may go on
             if first:
-                yield from groups(pa.Table.from_batches([*rest, b.slice(0, first)]))
+                yield groups(pa.Table.from_batches([*rest, b.slice(0, first)]))
                 rest = []
             rest.append(b.slice(first))
         if rest:
-            yield from groups(pa.Table.from_batches(rest))
+            yield groups(pa.Table.from_batches(rest))
 
     return run
 
 
-#: Offsets of windows are taken in runs of so many; what all windows of a run
-#: hold is their core.
-RUN = 47
+def bounds(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return zip(cut, np.append(cut[1:], len(key)), strict=True)
+
+
+def covers(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "ch", "before", "after"])
+
+
+def cover_rows(length: int):
+    """Maps contexts sorted by anchor to COVER, a group at a time."""
+
+    def groups(table: pa.Table) -> pa.RecordBatch:
+        anchor, ch, copies = (table.column(c).to_numpy() for c in ("anchor", "ch", "copies"))
+        side, ctx = table.column("side").to_numpy().astype(np.int64), table.column("ctx").to_pylist()
+        before, after = np.full(len(anchor), -1), np.full(len(anchor), -1)
+        for i, j in bounds(anchor):
+            if j - i > 1 or copies[i] > 1:
+                before[i:j], after[i:j] = cover_group(ctx[i:j], side[i:j], copies[i:j], length)
+        hit = after >= 0
+        return covers(anchor[hit], ch[hit], before[hit], after[hit])
+
+    return by_group("anchor", groups)
+
+
+def runs_of(length: int) -> list[tuple[int, int]]:
+    """(first, last) offsets of the runs in which an anchor's windows are
+    taken; an offset is the number of bytes from the window to the anchor."""
+    n = length - K + 1
+    each = -(-n // 8)
+    return [(k, min(k + each, n) - 1) for k in range(0, n, each)]
+
+
+CORE = "h bigint, anchor bigint, ch bigint, run int, copies bigint"
+RING = "h bigint, anchor bigint, ch bigint, run int, copies bigint, head binary, tail binary"
+WINDOW = "h bigint, anchor bigint, ch bigint, off bigint, copies bigint"
+
+
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+class Parts:
+    """A few contexts as one array of bytes."""
+
+    def __init__(self, b: pa.RecordBatch):
+        self.parts = b.column(b.schema.get_field_index("ctx")).to_pylist()
+        self.base = np.append(0, np.cumsum([len(p) for p in self.parts]))
+        self.data = np.frombuffer(b"".join(self.parts), np.uint8)
+        self.side, self.size = b.column(b.schema.get_field_index("side")).to_numpy().astype(np.int64), np.diff(self.base)
+
+    def hashes(self, doc: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        h = ranges_hash(self.data, self.base[doc] + start, self.base[doc] + end) ^ mix(salt.astype(U64))
+        return h.astype(np.int64)
 
 
-def window_rows(length: int, cores: bool):
-    """Maps contexts to a row (h, anchor, ch, off, copies) for each window that
-    holds the anchor, off bytes after the window's start; or for the core of
-    each run of such windows, off being the run's number. The column ``runs``
-    (null: all) says which runs to take."""
+def core_rows(length: int):
+    """Maps CONTEXT to CORE: of each context and run of windows a hash of the
+    core, which is what all windows of the run hold."""
+    first, last = (np.array(x) for x in zip(*runs_of(length), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                s = b.slice(lo, 2000)
+                c = Parts(s)
+                doc, k = np.divmod(np.arange(s.num_rows * len(first)), len(first))
+                start, end = c.side[doc] - first[k], c.side[doc] - last[k] + length
+                ok = (start >= 0) & (end <= c.size[doc])
+                doc, k, start, end = doc[ok], k[ok], start[ok], end[ok]
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(c.hashes(doc, start, end, k)), s.column("anchor").take(take), s.column("ch").take(take), pa.array(k.astype(np.int32)), s.column("copies").take(take)], names(CORE))
+
+    return run
+
+
+def ring_rows(length: int):
+    """Maps contexts with ``runs`` (structs of h and run) to RING: what windows
+    of the run hold before the core and after it."""
+    runs = runs_of(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 s = b.slice(lo, 500)
-                parts = s.column("ctx").to_pylist()
-                base = np.append(0, np.cumsum([len(p) for p in parts]))
-                data = np.frombuffer(b"".join(parts), np.uint8)
-                side, size = s.column("side").to_numpy().astype(np.int64), np.diff(base)
-                number = -(-(length - K + 1) // RUN)
-                chosen = np.array([[r is None or k in r for k in range(number)] for r in s.column("runs").to_pylist()], bool)
-                if cores:
-                    doc, off = np.nonzero(chosen)
-                    first, last = off * RUN, np.minimum(off * RUN + RUN, length - K + 1) - 1
-                    start, end = side[doc] - first, side[doc] - last + length
-                else:
-                    doc, off = np.nonzero(np.repeat(chosen, RUN, axis=1)[:, : length - K + 1])
-                    start, end = side[doc] - off, side[doc] - off + length
-                ok = (start >= 0) & (end <= size[doc])
-                if cores:  # a run may hold a window even where its core is cut by the context's ends
-                    start, end, ok = np.maximum(start, 0), np.minimum(end, size[doc]), start >= 0
-                doc, off, start, end = doc[ok], off[ok], start[ok], end[ok]
-                h = ranges_hash(data, base[doc] + start, base[doc] + end) ^ mix(off.astype(U64))
+                c, lists = Parts(s), s.column(s.schema.get_field_index("runs"))
+                flat_, doc = lists.flatten(), np.repeat(np.arange(s.num_rows), lists.value_lengths().to_numpy())
+                head, tail = [], []
+                for i, k in zip(doc.tolist(), flat_.field("run").to_pylist(), strict=True):
+                    text, side, (first, last) = c.parts[i], int(c.side[i]), runs[k]
+                    head.append(text[max(0, side - last) : side - first])
+                    tail.append(text[side - last + length : side - first + length])
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), s.column("anchor").take(take), s.column("ch").take(take), pa.array(off.astype(np.int64)), s.column("copies").take(take)], ["h", "anchor", "ch", "off", "copies"])
+                yield pa.RecordBatch.from_arrays([flat_.field("h"), s.column("anchor").take(take), s.column("ch").take(take), flat_.field("run"), s.column("copies").take(take), pa.array(head, pa.binary()), pa.array(tail, pa.binary())], names(RING))
 
     return run
 
 
-WINDOW = "h bigint, anchor bigint, ch bigint, off bigint, copies bigint"
+def ring_cover_rows(length: int):
+    """Maps RING sorted by h to COVER. Members of a group have its core in
+    common; what they need of a window's other bytes is compared as around an
+    anchor."""
+    runs = runs_of(length)
 
+    def groups(table: pa.Table) -> pa.RecordBatch:
+        h, anchor, ch, run, copies = (table.column(c).to_numpy() for c in ("h", "anchor", "ch", "run", "copies"))
+        heads, tails = table.column("head").to_pylist(), table.column("tail").to_pylist()
+        before, after = np.full(len(h), -1), np.full(len(h), -1)
+        for i, j in bounds(h):
+            first, last = runs[run[i]]
+            side = np.array([len(x) for x in heads[i:j]], np.int64)
+            got = cover_group([x + y for x, y in zip(heads[i:j], tails[i:j], strict=True)], side, copies[i:j], last - first)
+            hit = got[1] >= 0
+            before[i:j][hit], after[i:j][hit] = got[0][hit] + first, got[1][hit] + length - last
+        hit = after >= 0
+        return covers(anchor[hit], ch[hit], before[hit], after[hit])
 
-def cover_by_windows(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """COVER by counting windows by hash, for groups too large for one task.
+    return by_group("h", groups)
 
-    First the cores of runs of windows are counted. Windows of a run whose
-    core occurs once occur once, so only the others are counted themselves;
-    these shrink map-side, as they repeat."""
-    everything = contexts.withColumn("runs", F.lit(None).cast("array<bigint>"))
-    cores = scratch.save(everything.mapInArrow(window_rows(length, True), WINDOW))
-    known = cores.groupBy("h", "anchor").agg(F.sum("copies").alias("c")).where("c > 1").select("h", "anchor")
-    runs = cores.join(bounded(scratch.save(known), BROADCAST_SPANS), ["h", "anchor"], "left_semi").groupBy("anchor", "ch").agg(F.collect_set("off").alias("runs"))
-    rows = contexts.join(scratch.save(runs), ["anchor", "ch"]).mapInArrow(window_rows(length, False), WINDOW)
-    twice = rows.groupBy("h", "anchor", "off").agg(F.sum("copies").alias("c")).where("c > 1").select("h", "anchor", "off")
-    hit = rows.join(bounded(scratch.save(twice), BROADCAST_SPANS), ["h", "anchor", "off"], "left_semi")
-    return hit.groupBy("anchor", "ch").agg(F.max("off").alias("before"), F.max(F.lit(length) - F.col("off")).alias("after"))
+
+def window_rows(length: int):
+    """Maps contexts with ``runs`` to WINDOW: each window of these runs."""
+    first, last = (np.array(x) for x in zip(*runs_of(length), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                s = b.slice(lo, 200)
+                c, lists = Parts(s), s.column(s.schema.get_field_index("runs"))
+                k = lists.flatten().field("run").to_numpy()
+                doc, n = np.repeat(np.arange(s.num_rows), lists.value_lengths().to_numpy()), last[k] - first[k] + 1
+                off = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                doc = np.repeat(doc, n)
+                start, end = c.side[doc] - off, c.side[doc] - off + length
+                ok = (start >= 0) & (end <= c.size[doc])
+                doc, off, start, end = doc[ok], off[ok], start[ok], end[ok]
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(c.hashes(doc, start, end, off)), s.column("anchor").take(take), s.column("ch").take(take), pa.array(off), s.column("copies").take(take)], names(WINDOW))
+
+    return run
+
+
+def cover_by_cores(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """COVER of contexts whose anchors have too many of them for one task. Of
+    runs of windows, first the cores are counted: where the core occurs once,
+    so do the windows. The others meet in groups by their core. The windows of
+    a core that is still in over GROUP contexts are counted by hash."""
+    contexts = scratch.save(contexts)
+    cores = scratch.save(contexts.mapInArrow(core_rows(length), CORE))
+    known = scratch.save(cores.groupBy("h").agg(F.sum("copies").alias("c"), F.count("*").alias("n")).where("c > 1").select("h", (F.col("n") > GROUP).alias("large")))
+    met = cores.join(bounded(known, BROADCAST_IDS), "h").groupBy("anchor", "ch", "large").agg(F.collect_list(F.struct("h", "run")).alias("runs"))
+    met = scratch.save(contexts.join(scratch.save(met), ["anchor", "ch"]))
+    rings = met.where("not large").mapInArrow(ring_rows(length), RING)
+    out = rings.repartition("h").sortWithinPartitions("h").mapInArrow(ring_cover_rows(length), COVER)
+    if not known.where("large").isEmpty():
+        windows = scratch.save(met.where("large").mapInArrow(window_rows(length), WINDOW))
+        twice = scratch.save(windows.groupBy("h").agg(F.sum("copies").alias("c")).where("c > 1").select("h"))
+        hit = windows.join(bounded(twice, BROADCAST_IDS), "h", "left_semi")
+        out = out.union(hit.select("anchor", "ch", F.col("off").alias("before"), (F.lit(length) - F.col("off")).alias("after")))
+    # all covers of a context hold its anchor, so together they are one
+    return out.groupBy("anchor", "ch").agg(F.max("before").alias("before"), F.max("after").alias("after"))
 
 
 def strip_rows():
@@ -346,7 +445,7 @@ def strip_rows():
                 removed, runs, sums = [], [], []
                 for i in range(b.num_rows):
                     own, kept, at, gone, n = text[off[i] : off[i + 1]], hashlib.sha256(), 0, 0, 0
-                    for s, e in merged(spans[i].as_py() or []):
+                    for s, e in ((x["s"], x["e"]) for x in spans[i].as_py() or []):
                         kept.update(own[at:s])
                         at, gone, n = e, gone + e - s, n + 1
                     kept.update(own[at:])
@@ -358,6 +457,13 @@ def strip_rows():
     return run
 
 
+def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maps (row, spans) to the same with spans merged."""
+    for b in batches:
+        spans = [[{"s": s, "e": e} for s, e in merged(x)] for x in b.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(spans, b.column("spans").type)], ["row", "spans"])
+
+
 def merged(spans: list) -> list[tuple[int, int]]:
     """Sorted maximal runs of (s, e); spans that touch are one run."""
     out: list[list[int]] = []
@@ -389,19 +495,21 @@ def spots_of(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     right = found.join(twice.withColumnRenamed("h", "right"), "right", "left_semi").select("row", "pos")
     left = found.join(twice.withColumnRenamed("h", "left"), "left", "left_semi").select("row", "pos")
     at = scratch.save(right.union(left).groupBy("row").agg(F.collect_set("pos").alias("at")))
+    scratch.drop(found, twice)
     free_shuffles(docs.sparkSession)
     spots = scratch.save(at_rows(docs, at).mapInArrow(spot_rows(length), SPOT))
+    scratch.drop(at)
     free_shuffles(docs.sparkSession)
     return spots
 
 
-def distinct_contexts(spots: DataFrame, scratch: Scratch) -> DataFrame:
-    """anchor, ch, copies, side, size, row and pos of one copy, and n: how many
-    different contexts the anchor has. Only light rows are shuffled; copies
-    shrink map-side."""
+def distinct_contexts(spots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(anchor, ch, copies, side, size, row and pos of one copy) and (anchor,
+    n: how many different contexts it has) of anchors with several. Only light
+    rows are shuffled; copies shrink map-side."""
     one = spots.groupBy("anchor", "ch").agg(F.count("*").alias("copies"), F.max("side").alias("side"), F.max("size").alias("size"), F.min("row").alias("row"), F.min_by("pos", "row").alias("pos"))
     one = scratch.save(one)
-    return scratch.save(one.join(one.groupBy("anchor").agg(F.count("*").alias("n")), "anchor"))
+    return one, scratch.save(one.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
 
 
 def cut_contexts(docs: DataFrame, chosen: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -420,33 +528,40 @@ def covered_spans(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     least ``length`` around it cover."""
     docs = keyed(docs).where(F.octet_length("text") >= length)
     spots = spots_of(docs, length, scratch)
-    known = distinct_contexts(spots, scratch)
+    one, counts = distinct_contexts(spots, scratch)
+    hot = scratch.save(counts.where(F.col("n") > GROUP).select("anchor"))
+    large = not hot.isEmpty()
+    # rows of hot anchors are kept out of the join by anchor
+    cool = one.join(bounded(hot, BROADCAST_IDS), "anchor", "left_anti") if large else one
+    known = scratch.save(cool.join(counts.where(F.col("n") <= GROUP).hint("merge"), "anchor", "left"))
     # the only context of its anchor is covered if it has copies
-    cover = known.where((F.col("n") == 1) & (F.col("copies") > 1) & (F.col("size") >= length)).select("anchor", "ch", F.col("side").cast("bigint").alias("before"), (F.col("size") - F.col("side")).cast("bigint").alias("after"))
-    some = cut_contexts(docs, known.where((F.col("n") > 1) & (F.col("n") <= GROUP)), length, scratch)
+    alone = known.where((F.col("copies") > 1) & F.col("n").isNull() & (F.col("size") >= length))
+    cover = alone.select("anchor", "ch", F.col("side").cast("bigint").alias("before"), (F.col("size") - F.col("side")).cast("bigint").alias("after"))
+    some = cut_contexts(docs, known.where("n is not null"), length, scratch)
     cover = cover.union(some.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(cover_rows(length), COVER))
-    hot = known.where(F.col("n") > GROUP)
-    if not hot.isEmpty():
-        cover = cover.union(cover_by_windows(scratch.save(cut_contexts(docs, hot, length, scratch)), length, scratch))
+    if large:
+        cover = cover.union(cover_by_cores(cut_contexts(docs, one.join(bounded(hot, BROADCAST_IDS), "anchor", "left_semi"), length, scratch), length, scratch))
     cover = scratch.save(cover)
+    scratch.drop(one, counts, known)
     free_shuffles(docs.sparkSession)
-    hit = spots.select("anchor", "ch", "row", "pos").join(cover, ["anchor", "ch"])
+    hit = spots.select("anchor", "ch", "row", "pos").join(cover.hint("merge"), ["anchor", "ch"])
     return hit.select("row", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + F.col("after")).alias("e"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
 
-    Removes every byte covered by a string of ``length`` bytes that starts
-    somewhere else too, in the same text or another; all copies go. Null texts
-    are empty. Repeated rows are occurrences of their own. Matches never cross
-    documents. Anchors and contexts are grouped by 64-bit hashes; what is
-    compared inside a group are the bytes."""
+    Removes every byte covered by a string of ``length`` bytes (more than K)
+    that starts somewhere else too, in the same text or another; all copies go.
+    Null texts are empty. Repeated rows are occurrences of their own. Matches
+    never cross documents. Columns but doc_id and text are not looked at, so
+    their names can't clash. Anchors and contexts are grouped by 64-bit hashes;
+    what is compared inside a group are the bytes."""
     scratch = Scratch(docs.sparkSession, "suffix")
-    spans = covered_spans(docs, length, scratch).distinct()
-    spans = scratch.save(spans.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    many = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    rows = keyed(docs).join(F.broadcast(spans) if many <= BROADCAST_SPANS else spans, "row", "left")
+    spans = covered_spans(docs, length, scratch).groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = scratch.save(spans.mapInArrow(merge_rows, spans.schema))
+    free_shuffles(docs.sparkSession)
+    rows = keyed(docs).join(bounded_bytes(spans, F.size("spans") * 16 + 48), "row", "left")
     kind = dict(docs.dtypes)["doc_id"]
     return rows.select("doc_id", "text", "spans").mapInArrow(strip_rows(), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
@@ -459,8 +574,8 @@ def maximal_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
     docs = keyed(docs).where(F.octet_length("text") >= length)
     spots = spots_of(docs, length, scratch)
-    known = distinct_contexts(spots, scratch)
-    small = cut_contexts(docs, known.where("n > 1 or copies > 1"), length, scratch)
+    one, counts = distinct_contexts(spots, scratch)
+    small = cut_contexts(docs, one.join(counts, "anchor", "left").where("n > 1 or copies > 1"), length, scratch)
 
     def report(table: pa.Table) -> pa.Table:
         ch, side, ctx = table.column("ch").to_pylist(), table.column("side").to_numpy().astype(np.int64), table.column("ctx").to_pylist()

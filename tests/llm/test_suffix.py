@@ -40,7 +40,7 @@ def corpus(seed):
     return [(k, t) for k, t in enumerate(out)] + [(5, out[5]), (None, out[6])]
 
 
-@pytest.mark.parametrize(("seed", "length", "group"), [(1, 100, 20000), (2, 61, 20000), (3, 100, 2)])
+@pytest.mark.parametrize(("seed", "length", "group"), [(1, 100, 20000), (2, 61, 20000), (3, 100, 2), (4, 61, 2), (5, 100, 6), (6, 26, 3)])
 def test_brute_force(spark, monkeypatch, seed, length, group):
     monkeypatch.setattr(suffix, "GROUP", group)
     rows = corpus(seed)
