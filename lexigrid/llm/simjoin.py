@@ -15,10 +15,15 @@ fragments again: each holds a segment of every set. Pairs that share a token
 of their prefixes and pass the length and positional bounds are candidates;
 their overlap is counted fragment by fragment and summed per pair.
 
-Only components are asked for, so a prefix token's documents are first joined
-with their most central member alone (linear in the group). Then only pairs
-still in different components are joined, each exactly as before. No pair that
-can link is skipped unless its ends are connected already."""
+Candidates that a sketch proves apart are left out: the parities of the sets'
+counts in hash buckets differ in no more buckets than the sets do in shingles.
+
+Where only components are asked for, a prefix token's documents are first
+joined with one of them alone, drawn anew for every token, then those that this
+left apart with another, and so on while links appear (each round is linear in
+the group). Then pairs still in different components are joined, each exactly
+as before. No pair that can link is skipped unless its ends are connected
+already. With ``links`` every pair is joined and counted."""
 
 from __future__ import annotations
 
@@ -27,17 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import Scratch, free_shuffles, keep_ids
+from lexigrid.llm.common import Scratch, free_shuffles, input_bytes, keep_ids, pieces
 from lexigrid.llm.graph import components
 from lexigrid.llm.spans import U64, Words, flat, mix, shingles, slices
 
 #: Shingles of one buffer of a map task.
 BUFFER = 800_000
-#: Buckets of a set's histogram, a finer vertical cut that bounds overlaps.
-BUCKETS = 32
+#: Bytes of input to a fragment, which is what a task counts at once.
+FRAGMENT_BYTES = 8 << 20
+#: Shingles to a word of 64 parities of a set's sketch.
+SKETCH = 8
+#: Rounds with one document to a token before all pairs are joined.
+ROUNDS = 4
 UNIT = "kind int, frag int, doc_id bigint, sig bigint, n bigint, buf bigint, cnt bigint, sigs binary, counts binary, keys binary, more binary, twice binary, twice_more binary"
 COUNTED = "kind int, doc_id bigint, sig bigint, n bigint, buf bigint, cnt bigint"
 
@@ -67,7 +76,7 @@ def unpack(keys: list[bytes], more: list[bytes]) -> np.ndarray:
 
 
 def emit(words: int, fragments: int):
-    shift = U64(64 - (fragments.bit_length() - 1))
+    shift, most = U64(64 - (fragments.bit_length() - 1)), BUFFER
     schema = pa.schema([("kind", pa.int32()), ("frag", pa.int32()), *[(c, pa.int64()) for c in ("doc_id", "sig", "n", "buf", "cnt")], *[(c, pa.binary()) for c in ("sigs", "counts", "keys", "more", "twice", "twice_more")]])
 
     def table(**cols) -> pa.RecordBatch:
@@ -123,7 +132,7 @@ def emit(words: int, fragments: int):
                 got = sets_of(*flat(b.column(b.schema.get_field_index("text"))), words)
                 parts.append((*got, b.column(b.schema.get_field_index("doc_id"))))
                 size += len(got[0])
-                if size >= BUFFER:
+                if size >= most:
                     yield from flush(parts, buf)
                     buf, parts, size = buf + 1, [], 0
         if parts:
@@ -174,18 +183,21 @@ def set_rows(words: int):
     return run
 
 
-def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
+def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text);
+    with ``links`` also n_links, the number of other documents it links with.
 
     A set holds the distinct shingles of ``words`` words, A-Z lower-cased; of
     fewer words the whole sequence; null or blank texts have none and link
     with nothing. Two documents link if 100 * intersection >= percent * union,
     and component_id is the smallest doc_id that links reach. Rows with a null
-    doc_id are counted but link with nothing (null component). Repeated rows
-    are copies. Shingles and sets are known by 64-bit hashes."""
+    doc_id are counted but link with nothing (null component, no links).
+    Repeated rows are copies. Other columns are not looked at. Shingles and
+    sets are known by 64-bit hashes. Links can be as many as the square of a
+    group of near copies: ask for them where that is affordable."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simjoin")
-    fragments = 1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    fragments = pieces(input_bytes(docs), FRAGMENT_BYTES)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sent = docs.mapInArrow(emit(words, fragments), UNIT)
     counted = scratch.save(sent.groupBy("frag").applyInArrow(count_fragment, COUNTED))
@@ -195,32 +207,58 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     # buffers with one set each has the whole count
     shared = counted.where("kind > 0").groupBy("sig", "buf").agg(F.sum("cnt").alias("cnt"), F.max("n").alias("n")).groupBy("sig").agg(F.max("cnt").alias("cnt"), F.max("n").alias("n"))
     alive = shared.where(F.col("cnt") * 100 >= F.col("n") * percent).select("sig")
-    classes = scratch.save(units.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")))
+    classes = scratch.save(units.where("n > 0 and doc_id is not null").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = scratch.save(classes.join(alive, "sig", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
     texts = keep_ids(docs, reps, "doc_id").dropDuplicates(["doc_id", "text"])
-    links = join_sets(scratch, texts.mapInArrow(set_rows(words), "node bigint, n bigint, h bigint"), percent)
-    comp = scratch.save(components(links)).withColumnRenamed("node", "sig")
+    pairs = join_sets(scratch, texts.mapInArrow(set_rows(words), "node bigint, n bigint, h bigint"), percent, links)
+    comp = scratch.save(components(pairs)).withColumnRenamed("node", "sig")
     named = classes.join(comp, "sig", "left").withColumn("c", F.coalesce("component", "sig"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = scratch.save(named.join(least, "c").select("sig", "n", "component_id"))
+    named = named.join(least, "c")
+    if links:
+        size = classes.select(F.col("sig").alias("b"), F.col("copies").alias("others"))
+        total = pairs.union(pairs.select("b", "a")).join(size, "b").groupBy(F.col("a").alias("sig")).agg(F.sum("others").alias("others"))
+        named = named.join(total, "sig", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    counts = ["n_links"] * links
+    named = scratch.save(named.select("sig", "n", "component_id", *counts))
     out = units.join(named, ["sig", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-
-
-def histograms(segments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hist): how many shingles that others have too fall into each of
-    BUCKETS hash buckets."""
-    hs = segments.join(nodes, "node", "left_semi").select("node", F.explode("hs").alias("h"))
-    counts = hs.groupBy("node", F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("k"))
-    maps = counts.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("b", "k"))).alias("m"))
-    each = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)))
-    return maps.select("node", each.alias("hist"))
-
-
-def join_sets(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
-    """links(a, b) among rows(node, n, h), enough of them to connect all that
-    are connected. Nodes of equal id are one set."""
+    known = [F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in counts]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *known, component.alias("component_id"))
+
+
+def sketches(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sketch): parities of how many of the shingles that others have
+    too fall into each hash bucket, 64 to a word; the larger the set, the more
+    words. A power of two of them, so that a sketch folds to a shorter one."""
+    words = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n"), F.lit(SKETCH)) / SKETCH))).cast("int")
+    hs = segments.join(nodes, "node", "left_semi").select("node", words.alias("words"), F.explode("hs").alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(63)).cast("int"))
+    at = F.col("h").bitwiseAND(F.col("words") - 1).cast("int")
+    parts = hs.groupBy("node", "words", at.alias("at")).agg(F.bit_xor(bit).alias("bits"))
+    maps = parts.groupBy("node", "words").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.col("words") - 1), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("bigint")))
+    return maps.select("node", each.alias("sketch"))
+
+
+def least_apart(x: str, y: str, percent: int) -> Column:
+    """In how many shingles two sets differ at least, by their sketches."""
+    n = F.least(F.size(x), F.size(y))
+
+    def folded(c: Column) -> Column:
+        for _ in range((-(-100 // percent) - 1).bit_length()):  # sizes of sets that can link differ by so many halvings
+            half = F.floor(F.size(c) / 2).cast("int")
+            halves = F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+            c = F.when(F.size(c) > n, halves).otherwise(c)
+        return c
+
+    differ = F.zip_with(folded(F.col(x)), folded(F.col(y)), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(differ, F.lit(0), lambda total, v: total + v)
+
+
+def join_sets(scratch: Scratch, rows: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """links(a, b) among rows(node, n, h): all of them, or enough to connect
+    all that are connected. Nodes of equal id are one set."""
     rows = scratch.save(rows)
     df = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     rare = F.floor(F.log2("df")).cast("int")
@@ -228,13 +266,13 @@ def join_sets(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
     frag = (rare * 4 + F.shiftright("h", 62) + 2).cast("int")
     segments = rows.join(df, "h").groupBy("node", "n", frag.alias("frag")).agg(F.sort_array(F.collect_set("h")).alias("hs"))
     segments = scratch.save(segments)
-    whole = segments.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("frag", "hs"))).alias("s"), F.sum(F.size("hs")).alias("m"), (F.sum(F.size("hs") * F.col("frag")) / F.sum(F.size("hs"))).alias("central"))
+    whole = segments.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("frag", "hs"))).alias("s"), F.sum(F.size("hs")).alias("m"))
     need = F.floor((F.col("n") * percent + 99) / 100).cast("bigint")
     alone = F.col("n") - F.col("m")  # shingles of no other set stand first in the order
     length = (F.col("n") - need + 1 - alone).cast("int")
     tokens = F.slice(F.flatten(F.transform("s", lambda x: x["hs"])), F.lit(1), length)
-    prefix = whole.where(F.col("m") >= need).select("node", "n", "central", alone.alias("alone"), F.posexplode(tokens).alias("i", "h"))
-    prefix = scratch.save(prefix.select("node", "n", "central", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "h"))
+    prefix = whole.where(F.col("m") >= need).select("node", "n", alone.alias("alone"), F.posexplode(tokens).alias("i", "h"))
+    prefix = scratch.save(prefix.select("node", "n", (F.col("n") - F.col("alone")).alias("m"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "h"))
 
     def bound(x: str, y: str):
         """Length and positional bounds: the overlap that is left from here on."""
@@ -246,8 +284,8 @@ def join_sets(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
 
     def ordered(df: DataFrame) -> DataFrame:
         low = F.col("x_node") < F.col("y_node")
-        pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
-        return df.select(pick("x_node", "y_node").alias("a"), pick("y_node", "x_node").alias("b"), pick("x_n", "y_n").alias("na"), pick("y_n", "x_n").alias("nb")).distinct()
+        pick = lambda k, first: F.when(low == F.lit(first), F.col(f"x_{k}")).otherwise(F.col(f"y_{k}"))
+        return df.select(*[pick(k, c == "a").alias(t + c) for k, t in (("node", ""), ("n", "n"), ("m", "m")) for c in "ab"]).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Overlaps by fragment, summed per pair."""
@@ -257,23 +295,41 @@ def join_sets(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
         total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
         return scratch.save(total.where(F.col("common") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"))
 
-    # first each token's documents with the most central one
-    hubs = prefix.groupBy("h").agg(F.max(F.struct("central", "node", "n", "rest")).alias("y"), F.count("*").alias("k")).where("k > 1")
-    hubs = hubs.select("h", F.col("y.node").alias("y_node"), F.col("y.n").alias("y_n"), F.col("y.rest").alias("y_rest"))
-    tried = scratch.save(ordered(renamed(prefix, "x_").join(hubs, "h").where((F.col("x_node") != F.col("y_node")) & bound("x_", "y_"))))
-    links = verify(tried)
+    def close(m, n, x: str, y: str):
+        """The overlap that the sketches leave possible."""
+        return (m - least_apart(x, y, percent)) * (100 + percent) >= n * 2 * percent
+
+    def near(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(drawn.toDF("a", "sa"), "a").join(drawn.toDF("b", "sb"), "b")
+        return both.where(close(F.col("ma") + F.col("mb"), F.col("na") + F.col("nb"), "sa", "sb")).drop("sa", "sb", "ma", "mb")
+
+    drawn = scratch.save(sketches(segments, prefix.select("node").distinct()))
+    meet = bound("x_", "y_") & close(F.col("x_m") + F.col("y_m"), F.col("x_n") + F.col("y_n"), "x_sketch", "y_sketch")
+    if every:
+        told = prefix.join(drawn, "node")
+        return verify(scratch.save(ordered(renamed(told, "x_").join(renamed(told, "y_"), "h").where((F.col("x_node") < F.col("y_node")) & meet)).drop("ma", "mb")))
+
+    held = prefix.withColumn("c", F.col("node")).withColumn("main", F.lit(None).cast("bigint"))
+    links, tried = None, None
+    for k in range(ROUNDS):
+        # each token's documents outside its largest component with one of all
+        hubs = held.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node", "h").alias("order"), "node", "n", "m", "rest", "c")).alias("y"))
+        hubs = hubs.select("h", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("node", "n", "m", "rest", "c")])
+        left = renamed(held.where("main is null or c <> main"), "x_")
+        pairs = scratch.save(near(ordered(left.join(hubs, "h").where((F.col("x_c") != F.col("y_c")) & bound("x_", "y_")))))
+        found = verify(pairs)
+        if links is not None and found.isEmpty():
+            break
+        tried = pairs if tried is None else tried.union(pairs)
+        links = found if links is None else links.union(found)
+        comp = scratch.save(components(links))
+        held = prefix.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        sizes = held.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        held = scratch.save(held.join(sizes.select("h", "main"), "h"))
     # then pairs whose ends are still apart; a token's largest component need not meet itself
-    comp = scratch.save(components(links))
-    apart = prefix.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "central")
-    sizes = apart.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = scratch.save(apart.join(sizes.select("h", "main"), "h"))
-    apart = scratch.save(apart.join(histograms(segments, apart.select("node").distinct()), "node"))
+    apart = scratch.save(held.join(drawn, "node"))
     x, y = renamed(apart.where("c <> main").drop("main"), "x_"), renamed(apart, "y_")
     once = (F.col("y_c") == F.col("y_main")) | (F.col("x_node") < F.col("y_node"))
-    # in each bucket two sets share at most the smaller count: near copies of
-    # one text that changed in different places are told apart by that
-    least = F.aggregate(F.zip_with("x_hist", "y_hist", lambda a, b: F.least(a, b)), F.lit(0).cast("bigint"), lambda total, v: total + v)
-    fine = least * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
-    rest = ordered(x.join(y, "h").where((F.col("x_c") != F.col("y_c")) & once & bound("x_", "y_") & fine))
+    rest = ordered(x.join(y, "h").where((F.col("x_c") != F.col("y_c")) & once & meet)).drop("ma", "mb")
     more = verify(scratch.save(rest.join(tried, ["a", "b", "na", "nb"], "left_anti")))
     return links.union(more)

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrid.llm import simjoin
 
@@ -55,6 +56,59 @@ def test_brute_force(spark, seed, monkeypatch):
     assert got == brute(rows)
 
 
+def link_counts(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    near = lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    return {i: sum(near(a, b) for b in range(len(rows)) if a != b) for a, (i, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_links_brute_force(spark, seed):
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = simjoin.similar_groups(df, links=True).collect()
+    assert {r.doc_id: r.n_links for r in got} == link_counts(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def near_group(seed, copies, changes):
+    """Near copies of a text that is not among them, so that many pairs miss
+    the threshold narrowly."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(300)}" for _ in range(150)]
+    out = []
+    for k in range(copies):
+        w = list(base)
+        for _ in range(r.randint(*changes)):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "changes", "rounds"), [(1, (0, 6), 4), (2, (2, 5), 1), (3, (3, 4), 4)])
+def test_near_group(spark, seed, changes, rounds, monkeypatch):
+    monkeypatch.setattr(simjoin, "ROUNDS", rounds)
+    rows = near_group(seed, 80, changes) + [(1000 + i, t) for i, t in near_group(seed + 50, 40, changes)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {tuple(r) for r in simjoin.similar_groups(df).collect()} == brute(rows)
+
+
+def test_sketches_never_rule_out_a_link(spark):
+    """What two sets' sketches differ in is at most what the sets differ in,
+    also where they are of two lengths."""
+    r = random.Random(6)
+    hashes = [r.getrandbits(64) - 2**63 for _ in range(5000)]
+    pick = lambda pool, n: set(r.sample(hashes[:pool], min(n, pool)))
+    sets = {k: pick(r.choice([20, 90, 1500, 5000]), r.choice([1, 9, 17, 65, 70, 1000])) for k in range(24)}
+    segments = spark.createDataFrame([(k, len(s), list(s)) for k, s in sets.items()], "node bigint, n bigint, hs array<bigint>")
+    got = simjoin.sketches(segments, segments.select("node"))
+    assert {x.node: len(x.sketch) for x in got.collect()} == {k: 1 << max(0, (-(-len(s) // 8) - 1)).bit_length() for k, s in sets.items()}
+    x, y = got.toDF("a", "x_sketch"), got.toDF("b", "y_sketch")
+    pairs = x.join(y, F.size("x_sketch").between(F.size("y_sketch") / 2, F.size("y_sketch") * 2)).select("a", "b", simjoin.least_apart("x_sketch", "y_sketch", 80).alias("d"))
+    for p in pairs.collect():
+        assert p.d <= len(sets[p.a] ^ sets[p.b]) and (p.a != p.b or p.d == 0)
+
+
 def test_odd_rows(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "A b c d e F"), (4, None)]
     got = sorted(map(tuple, simjoin.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
