@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import Scratch, word_count
+from lexigrid.llm.common import Scratch, aside, word_count
 
 #: Bucket totals that may be broadcast (three numbers each).
 BROADCAST_BUCKETS = 200_000
@@ -43,9 +43,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     return rows.select("source", "source_size", F.col("weight"), target.alias("target"), slope.alias("slope"))
 
 
+#: Columns that mix() adds; stream is what expand() needs to know.
+ADDED = ["size", "source_size", "target", "taken", "position", "stream"]
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """docs with size (words), source_size, target, taken (words that the mix
-    takes of it, repeats counted), and epoch_target and position.
+    takes of it, repeats counted), position, and stream.
 
     Each source is a stream: its documents in md5 order of doc_id, repeated.
     The mix takes the first ``round(target)`` words of the stream: whole
@@ -57,10 +61,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) ->
 
     The running sum is two-level (totals of 4096 buckets of each source, then
     inside a bucket), so a source with a third of all rows is spread over as
-    many tasks as there are buckets. Rows keep docs' own columns; docs' columns
-    of the added names are replaced."""
-    added = ["size", "source_size", "target", "taken", "position"]
-    own = [c for c in docs.columns if c not in added]
+    many tasks as there are buckets. Of each source only a row of totals is
+    seen at once, by one task. Rows keep docs' own columns; docs' columns of the
+    added names are replaced."""
+    docs, back = aside(docs.drop(*ADDED), "doc_id", "text", "source")
+    own = docs.columns
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     sized = docs.select(*own, word_count(F.col("text")).alias("size"), order.alias("_order"), name.alias("_name"))
@@ -80,7 +85,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) ->
     rows = rows.withColumn("_part", F.least("size", F.greatest(F.lit(0), F.col("_rest") - F.col("_before"))).cast("bigint"))
     rows = rows.withColumn("taken", (F.col("_passes") * F.col("size") + F.col("_part")).cast("bigint"))
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, training_time(F.col("_before"), F.col("target"), F.col("slope"))))
-    return rows.select(*own, *added, "_before", "_passes", "_part", "slope")
+    stream = F.struct(F.col("_before").alias("before"), F.col("_passes").alias("passes"), F.col("_part").alias("part"), "slope")
+    return rows.withColumn("stream", stream).select(*back, *ADDED)
 
 
 def training_time(words, target, slope):
@@ -95,21 +101,24 @@ def training_time(words, target, slope):
 def by_position(mixed: DataFrame) -> DataFrame:
     """One row per document, range-sorted by training position (ties and the
     documents that are not taken by doc_id)."""
-    return mixed.drop("_before", "_passes", "_part", "slope").orderBy("position", "doc_id")
+    return mixed.drop("stream").orderBy("position", "doc_id")
 
 
 def expand(mixed: DataFrame) -> DataFrame:
-    """The training sequence: a row for each copy the mix takes, range-sorted
-    by its own position. The last copy of a source's stream may be cut after
-    a word (``words`` of it are left)."""
-    n = F.col("_passes") + (F.col("_part") > 0).cast("bigint")
+    """The training sequence: a row for each copy the mix takes (number
+    ``copy``), range-sorted by its own position. The last copy of a source's
+    stream may be cut after a word (``words`` of it are left). Columns of these
+    two names are replaced; equal rows of mix() give equal copies."""
+    mixed = mixed.drop("copy", "words")
+    passes, part = F.col("stream.passes"), F.col("stream.part")
+    n = passes + (part > 0).cast("bigint")
     # as many copies as whole passes, and one for the part: cap + 1 at most
     copies = F.when((n > 0) & (F.col("taken") > 0), F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
     rows = mixed.select("*", F.explode(copies).alias("copy"))
-    rows = rows.withColumn("words", F.when(F.col("copy") < F.col("_passes"), F.col("size")).otherwise(F.col("_part")))
-    at = training_time(F.col("_before") + F.col("copy") * F.col("source_size"), F.col("target"), F.col("slope"))
+    rows = rows.withColumn("words", F.when(F.col("copy") < passes, F.col("size")).otherwise(part))
+    at = training_time(F.col("stream.before") + F.col("copy") * F.col("source_size"), F.col("target"), F.col("stream.slope"))
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     # pieces end where a word ends; trailing blanks are a piece without a word
     cut = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("words"), F.lit(1)).cast("int")), "")
     text = F.when(F.col("words") == F.col("size"), F.col("text")).otherwise(cut)
-    return rows.withColumn("text", text).withColumn("position", at).drop("_before", "_passes", "_part", "slope").orderBy("position", "doc_id", "copy")
+    return rows.withColumn("text", text).withColumn("position", at).drop("stream").orderBy("position", "doc_id", "copy")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.spans import Words, flat, slices
+from lexigrid.shared import bound_batches
 
 #: Words in a passage.
 PASSAGE = 128
@@ -170,7 +171,9 @@ def passages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = TRAIN_DOCS, fold: int = 5) -> Model:
     """Fits on the labelled documents whose crc32(doc_id) mod ``fold`` is not
     0: at most max_docs of them, by hash. Of several labels of a document the
-    largest counts; null labels are left out."""
+    largest counts; null labels and null ids are left out. Rows that share an
+    id are each an example. Other columns are not looked at."""
+    bound_batches(docs.sparkSession)
     crc = F.crc32(F.col("doc_id").cast("string"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (crc % fold != 0))
     known = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
@@ -191,9 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """docs (its text only if asked for) with score: the model's probability of
     label 1 for the whole text. Null and empty texts are scored as one passage
-    of zeros. Map-only."""
-    names = docs.columns
-    told = [c for c in names if keep_text or c != "text"]
+    of zeros; repeated rows alike. A column ``score`` of docs is replaced; no
+    other column is looked at. Map-only."""
+    bound_batches(docs.sparkSession)
+    docs = docs.drop("score")
+    told = [c for c in docs.columns if keep_text or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -203,13 +208,16 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
                 kept = [b.column(b.schema.get_field_index(c)) for c in told]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(y, pa.float64())], [*told, "score"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*told).dtypes)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    fields = "".join(f"`{c}` {t}, " for c, t in docs.dtypes if c in told)
+    return docs.mapInArrow(run, f"{fields}score double")
 
 
 def attend(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, passage, weight): the attention that each passage of
-    docs(doc_id, text) gets, summing to 1 in a document."""
+    docs(doc_id, text) gets, summing to 1 in a document. Null and empty texts
+    are one passage; repeated rows each give theirs; other columns are not
+    looked at."""
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
