@@ -87,17 +87,27 @@ def resolved(url: Column, to: Column) -> Column:
     return F.coalesce(absolute, F.when(~other & (site != ""), F.when(to.startswith("//"), F.concat(scheme, to)).otherwise(inside)))
 
 
+def decoded(value: Column) -> Column:
+    """An attribute's value with its ampersands decoded, the only references
+    that urls need."""
+    return F.regexp_replace(value, r"(?i)&(?:amp|#38|#x26);", "&")
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): urls that a page's html names as its canonical url or that
-    it refreshes to. Relative targets are resolved against the page's url."""
-    tags = F.regexp_extract_all("html", F.lit(r"""(?is)(<(?:link|meta)\b(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>)"""), 1)
-    rows = pages.where("url is not null and html is not null").select("url", F.explode(tags).alias("tag"))
+    it refreshes to. Relative targets are resolved against the page's url, or
+    against the html's first base."""
+    tag_of = r"""(?is)(<(?:%s)\b(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>)"""
+    base = F.trim(decoded(attribute(F.regexp_extract("html", tag_of % "base", 1), "href")))
+    at = F.when(base == "", F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), base), F.col("url")))
+    tags = F.regexp_extract_all("html", F.lit(tag_of % "link|meta"), 1)
+    rows = pages.where("url is not null and html is not null").select("url", at.alias("at"), F.explode(tags).alias("tag"))
     tag = F.col("tag")
     canonical = F.when(F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical"), attribute(tag, "href"))
     goes = found(attribute(tag, "content"), r"""(?is)^\s*+(?:[\d.]++\s*+[;,]?+\s*+(?:url\s*+=\s*+)?+|url\s*+=\s*+)(?:"([^"]*+)|'([^']*+)|([^"'\s]\S*+))""")
     refresh = F.when(F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh", goes)
-    rows = rows.select("url", F.trim(F.coalesce(canonical, refresh)).alias("to")).where("to <> ''")
-    target = resolved(F.col("url"), F.col("to"))
+    rows = rows.select("url", "at", F.trim(decoded(F.coalesce(canonical, refresh))).alias("to")).where("to <> ''")
+    target = resolved(F.col("at"), F.col("to"))
     return rows.select(F.col("url").alias("src"), target.alias("dst")).where("dst is not null and src <> dst").distinct()
 
 
