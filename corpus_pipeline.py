@@ -3,15 +3,16 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each
 result as Parquet in the shared folder and reads it back as the next one's
 docs. All but the last return the columns of documents. Extra columns pass
-through."""
+through unchanged, whatever their names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import decontam, mixing, quality, shards, simjoin
-from lexigrid.llm.common import Scratch, keep_ids, work_dir
+from lexigrid.llm import common, decontam, mixing, quality, shards, simjoin
+from lexigrid.llm.common import Scratch, aside, fresh, keep_ids
+from lexigrid.shared import work_dir
 
 #: Score from which a document passes.
 QUALITY = 0.3
@@ -21,10 +22,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score passes. Null and empty texts are scored
     like others; every repeated row is judged alike."""
     model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = docs.columns
-    scored = quality.score(docs.withColumnRenamed("score", "_score") if "score" in names else docs, model, keep_text=True)
-    kept = scored.where(F.col("score") >= QUALITY).drop("score")
-    return (kept.withColumnRenamed("_score", "score") if "score" in names else kept).select(*names)
+    rows, back = aside(docs, "doc_id", "text")
+    return quality.score(rows, model, keep_text=True).where(F.col("score") >= QUALITY).select(*back)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,17 +43,19 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no contaminating share of a benchmark item."""
     found = decontam.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_row=True)
-    bad = Scratch(spark, "pipeline").save(found.where("contaminated").select(F.col("row").alias("_row")).distinct())
-    return keep_ids(docs.withColumn("_row", decontam.row_key()), bad, "_row", "left_anti").select(*docs.columns)
+    row = fresh(docs.columns, "row")
+    bad = Scratch(spark, "pipeline").save(found.where("contaminated").select(F.col("row").alias(row)).distinct())
+    return keep_ids(docs.withColumn(row, decontam.row_key()), bad, row, "left_anti").select(*docs.columns)
 
 
 def blend(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training sequence: sources at their target weights, a row for each
     copy the mix takes. The last copy of a source may be cut after a word, and
     its n_chars says what is left. Documents without words are not taken."""
-    rows = mixing.expand(mixing.mix(docs))
+    rows, back = aside(docs, "doc_id", "text", "source", "n_chars")
+    rows = mixing.expand(mixing.mix(rows))
     n_chars = F.when(F.col("words") < F.col("size"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return rows.withColumn("n_chars", n_chars).select(*docs.columns)
+    return rows.withColumn("n_chars", n_chars).select(*back)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     store.append(docs)
     store.compact()
     store.vacuum()
-    return store.read().select("doc_id", F.length("text").cast("bigint").alias("chars"), "shard")
+    rows = store.read()
+    return rows.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.col(rows.columns[-1]).alias("shard"))
 
 
 STAGES = [("quality", classify), ("jaccard", deduplicate), ("decontamination", decontaminate), ("mixing", blend), ("sharding", shard)]
@@ -76,6 +78,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), work_dir(spark, "pipeline")
     for name, stage in STAGES:
+        since = len(common.MADE)
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        common.clean(spark, since)  # the stage's result is written
         docs = spark.read.parquet(f"{root}/{name}")
     return docs
