@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import Scratch, keep_ids, lower_ascii
+from lexigrid.llm.common import Scratch, bounded, bounded_bytes, keep_ids, lower_ascii
 
 #: Words are runs of letters a-z, digits and any non-ASCII characters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,11 +28,6 @@ def shingle_hashes(words: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
 
-def bounded(df: DataFrame, limit: int) -> DataFrame:
-    """Marked for broadcast if it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
     """(item, len, words, win): every run of ``width`` words of an item, or all
     its words where it has fewer; items without words give none. win, two hashes
@@ -65,8 +60,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     A document's word is hit if any occurrence covers it; it is contaminated
     if hit words are at least 1 / share of its words. Null or empty texts have
     no words. Repeated rows each get the result. Null item ids count as one
-    item with an empty id; items with one id are one item. Only the benchmark
-    is broadcast, if it has few enough shingles; else both joins shuffle."""
+    item with an empty id; items with one id are one item. Other columns are
+    not looked at. Only what comes of the benchmark, and short lists of hits,
+    are broadcast, if their bytes are few; else the joins shuffle."""
     scratch = Scratch(docs.sparkSession, "decontam")
     row = row_key().alias("row")
     windows = scratch.save(item_windows(benchmark, width))
@@ -104,14 +100,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
         there = texts.select("row", bench_words(F.col("text")).alias("w")).join(spots, "row")
         cuts = F.transform("spots", lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.slice("w", s["start"] + 1, s["len"]).alias("words")))
         there = there.select("row", F.explode(cuts).alias("c")).select("row", "c.*")
-        exact = scratch.save(there.join(bounded(windows.select("item", "words"), BROADCAST_SHINGLES), "words").select("row", "start", "len", "item").distinct())
+        exact = scratch.save(there.join(bounded_bytes(windows.select("item", "words"), F.octet_length(F.array_join("words", " ")) + F.octet_length("item") + 400), "words").select("row", "start", "len", "item").distinct())
         end = F.col("start") + F.col("len")
         w = W.partitionBy("row").orderBy("start", "len").rowsBetween(W.unboundedPreceding, -1)
         covered = exact.select("row", "start", "len").distinct().withColumn("upto", F.coalesce(F.max(end).over(w), F.lit(0)))
         n_hit = covered.groupBy("row").agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "upto"))).cast("bigint").alias("n_hit"))
         items = exact.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
         found = scratch.save(n_hit.join(items, "row"))
-    out = counted.join(bounded(found, BROADCAST_SHINGLES), "row", "left")
+    out = counted.join(bounded_bytes(found, F.octet_length(F.array_join("items", " ")) + 8 * F.size("items") + 64), "row", "left")
     hit, names = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", *["row"] * keep_row, "n_words", hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"),

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import Scratch
-from lexigrid.llm.decontam import bounded
+from lexigrid.llm.common import Scratch, bounded
 from lexigrid.llm.graph import components
 from lexigrid.llm.spans import mix
 
