@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexigrid.llm import chats, decontam, embeddings, lm, mixing, quality, shards, simjoin, suffix, urls
-from lexigrid.llm.common import work_dir
+from lexigrid.shared import work_dir
 
 # The url rules.
 RULES = [urls.Rule("allow", "com/"), urls.Rule("block", "example.com/en/"), urls.Rule("allow", "www.example.com/en/"), urls.Rule("block", "net/es/"), urls.Rule("block", "net/fr/")]
@@ -39,7 +39,7 @@ def op3_sharding(spark: SparkSession, d: str) -> DataFrame:
     store.append(table(spark, d, "documents"))
     store.compact()
     store.vacuum()
-    return store.read().select("doc_id", F.length("text").cast("bigint").alias("chars"), "shard")
+    return store.read().select("doc_id", F.length("text").cast("bigint").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op4_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +92,7 @@ k as (select *, passes * size + least(size, greatest(0, round(target - passes *
 select doc_id, size, source_size, target, taken::bigint as taken,
     case when taken > 0 then case when y <= 0 then 0.0::double else 2.0::double * y / (1.0::double - slope + sqrt((1.0::double - slope) * (1.0::double - slope) + 4.0::double * slope * y)) end end as position from k
 order by position, doc_id""",
+    "op3_sharding": "select doc_id, length(text) as chars, sha256(text) as text_sha256 from documents",
     "op4_jaccard": r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))

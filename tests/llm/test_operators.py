@@ -1,7 +1,10 @@
 """Edge cases of sharding, mixing, decontamination, urls, chats, quality, graph."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,6 +32,75 @@ def test_shards(spark, tmp_path):
     assert store.compact() == after
 
 
+def test_shards_rows(spark, tmp_path):
+    """Row by row over appends, compaction, vacuum and every version."""
+    schema = "doc_id bigint, text string, grp int, shard string, _shard string, key double"
+    rows = [(k, None if k % 7 == 0 else f"t{k}" * (k % 50), k % 3, f"s{k}", None, k / 2) for k in range(300)] + [(None, None, None, None, None, None)] * 3 + [(5, "", 1, "x", "y", 0.0)] * 2
+    store, seen = shards.ShardStore(spark, str(tmp_path / "s"), target_bytes=30_000, fanout=3), []
+    for lo in range(0, len(rows), 50):
+        store.append(spark.createDataFrame(rows[lo : lo + 50], schema).repartition(3))
+        seen.append(rows[: lo + 50])
+    store.append(spark.createDataFrame([], schema))
+    seen.append(rows)
+    last = store.compact()
+    assert store.read().columns == [c.split()[0] for c in schema.split(", ")] + ["shard_"]
+    seen += [rows] * (last + 1 - len(seen))
+    for v, want in enumerate(seen):
+        assert sorted((tuple(r)[:-1] for r in store.read(v).collect()), key=str) == sorted(want, key=str)
+    store.vacuum(versions=2)
+    for v in (last - 1, last):
+        assert sorted((tuple(r)[:-1] for r in store.read(v).collect()), key=str) == sorted(rows, key=str)
+    assert store.vacuum() > 0 and store.read().count() == len(rows)
+
+
+def test_shards_writers(spark, tmp_path, monkeypatch):
+    """One writer commits, compacts and vacuums between another's write and its commit."""
+    root = str(tmp_path / "s")
+    one, two = shards.ShardStore(spark, root, fanout=2), shards.ShardStore(spark, root, fanout=2)
+    some = lambda lo: spark.range(lo, lo + 40).selectExpr("id as doc_id").repartition(2)
+    one.append(some(0))
+
+    def late(live, base):
+        monkeypatch.undo()
+        one.append(some(100))
+        one.compact()
+        one.vacuum()
+        return two.commit(live, base)
+
+    monkeypatch.setattr(two, "commit", late)
+    two.append(some(200))
+    want = [*range(40), *range(100, 140), *range(200, 240)]
+    assert sorted(r.doc_id for r in two.read().collect()) == want
+    one.append(some(300))
+    monkeypatch.setattr(two, "commit", late)  # now between a compaction's write and its commit
+    two.compact()
+    assert sorted({r.doc_id for r in two.read().collect()}) == [*want, *range(300, 340)]
+    assert not list((tmp_path / "s" / "writing").iterdir())
+    files = {f.name for f in (tmp_path / "s" / "data").rglob("*.parquet")}
+    two.vacuum()
+    assert {r.shard.rpartition("/")[2] for r in two.manifest().collect()} == {f.name for f in (tmp_path / "s" / "data").rglob("*.parquet")} <= files
+
+
+def test_shards_failures(spark, tmp_path, monkeypatch):
+    store = shards.ShardStore(spark, str(tmp_path / "s"))
+    assert store.vacuum() == 0
+    store.append(spark.range(10))
+    monkeypatch.setattr(store, "commit", lambda *a: (_ for _ in ()).throw(OSError("no disk")))
+    with pytest.raises(OSError):
+        store.append(spark.range(10, 20))
+    monkeypatch.undo()
+    assert store.version() == 0 and store.vacuum() == 0 and store.read().count() == 10
+    name = store.begin()  # a writer that dies
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/s/data/{name}")
+    assert store.vacuum() == 0 and store.vacuum(abandoned=-60) == 1 and store.read().count() == 10
+
+
+def test_shards_one_group_a_task(spark):
+    keys = shards.ShardStore(spark, "/none").keys(64)
+    parts = keys.repartition(64, "key").withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"))
+    assert keys.select("grp").distinct().count() == 64 and parts.agg(F.max("n")).first()[0] == 1
+
+
 def test_targets(spark):
     rows = [("a", 10), ("b", 10), ("c", 1000), (None, 1), ("d", 0)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size bigint")).collect()}
@@ -68,6 +140,20 @@ def plain_contamination(text, items):
     return len(w), sum(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), any(hit) and 20 * sum(hit) >= len(w)
 
 
+def test_mix_names(spark):
+    """Clashing columns: the added ones are replaced, all others stay."""
+    names = ["slope", "_before", "_start", "_name", "_bucket", "weight", "rank", "aside0", "size", "stream", "copy", "words"]
+    rows = [(k, "a b c d", "xy"[k % 2], *range(len(names))) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    mixed = mixing.mix(df)
+    kept = [n for n in names if n not in mixing.ADDED]
+    assert mixed.columns == ["doc_id", "text", "source", *kept, *mixing.ADDED]
+    want = [k for k, n in enumerate(names) if n in kept]
+    assert all([r[n] for n in kept] == want and r["size"] == 4 for r in mixed.collect())
+    seq = mixing.expand(mixed).collect()
+    assert all(r["slope"] == 0 and r["words"] <= 4 for r in seq) and sum(r["words"] for r in seq) == 24
+
+
 def test_contamination(spark):
     r = random.Random(4)
     vocab = [f"v{k}" for k in range(60)] + ["Ünder", "x"]
@@ -163,6 +249,44 @@ def test_url_edges(spark):
     assert blocked == {0, 9}
 
 
+def test_url_base_and_entities(spark):
+    rows = [
+        (1, "http://a.net/d/p", '<base href="http://b.net/x/y"><link rel="canonical" href="q?a=1&amp;b=2">'),
+        (2, "http://c.net/d/p", "<base href=/deep/><link rel=canonical href=z>"),
+        (3, "http://e.net/d/p", '<link rel="canonical" href="/s?a=1&#38;b=2">'),
+    ]
+    got = {r.src: r.dst for r in urls.link_edges(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {"http://a.net/d/p": "http://b.net/x/q?a=1&b=2", "http://c.net/d/p": "http://c.net/deep/z", "http://e.net/d/p": "http://e.net/s?a=1&b=2"}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_urls_brute_force(spark, seed):
+    """Random graphs of redirects and links with blocked, allowed and other
+    hosts: components by union-find, explicit rules first."""
+    r = random.Random(seed)
+    hosts = ["bad.org", "www.bad.org", "ok.bad.org", "x.com"] + [f"h{k}.net" for k in range(40)]
+    all_urls = [f"http://{h}/{k}" for h in hosts for k in range(3)]
+    links = {u: r.choice(all_urls) for u in r.sample(all_urls, 45)}
+    moved = [(r.choice(all_urls), r.choice(all_urls)) for _ in range(12)] + [(all_urls[0], all_urls[0]), (None, all_urls[1])]
+    parent = {u: u for u in all_urls}
+
+    def find(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    for a, b in [*links.items(), *[m for m in moved if m[0]]]:
+        parent[find(a)] = find(b)
+    rule = {"bad.org": "block", "www.bad.org": "block", "ok.bad.org": "allow", "x.com": "allow"}
+    host = lambda u: u.split("/")[2]
+    bad = {find(u) for u in all_urls if rule.get(host(u)) == "block"}
+    want = {u: rule.get(host(u)) or ("block" if find(u) in bad else "allow") for u in all_urls}
+    pages = spark.createDataFrame([(k, u, page(links[u]) if u in links else None) for k, u in enumerate(all_urls)], "page_id int, url string, html string").repartition(4)
+    got = {r.page_id: r.verdict for r in urls.judge(pages, RULES, spark.createDataFrame(moved, "src string, dst string")).collect()}
+    assert got == {k: want[u] for k, u in enumerate(all_urls)}
+    assert "block" in {want[u] for u in all_urls if host(u) not in rule}
+
+
 def test_chats(spark):
     turns = {1: "ab", 2: "abc", 3: "abc", 4: "abd", 5: "b", 6: "", None: "abcx", 8: "ab"}
     rows = [(c, k, "user" if k % 2 else "assistant", t, 0) for c, s in turns.items() for k, t in enumerate(s)]
@@ -216,6 +340,60 @@ def test_gradients():
             assert abs((up - down) / 2e-5 - g[i]) < 1e-6
 
 
+def plain_passages(text):
+    """Features of each passage of a text, word by word."""
+    data = (text or "").encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    if not at:
+        return [[0.0] * quality.N_FEATURES]
+    word = [low[i:j] for i, j in at]
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    out = []
+    for lo in range(0, len(at), quality.PASSAGE):
+        hi = min(lo + quality.PASSAGE, len(at))
+        n, span = hi - lo, data[at[lo][0] : at[hi][0] if hi < len(at) else len(data)]
+        size = [j - i for i, j in at[lo:hi]]
+        mean = lambda v: sum(v) / n  # noqa: B023, E731
+        head, tail = [data[i] for i, _ in at[lo:hi]], [data[j - 1] for _, j in at[lo:hi]]
+        again = lambda d: mean([k >= d and word[k] == word[k - d] for k in range(lo, hi)])  # noqa: B023, E731
+        count = Counter(word[lo:hi])
+        spread = max(0, mean([s * s for s in size]) - mean(size) ** 2) ** 0.5
+        out.append(
+            [sum(b in set(c) for b in span) / len(span) for c in quality.CLASSES.values()]
+            + [math.log1p(mean(size)), math.log1p(spread), math.log1p(n) / 5, again(1), again(2), mean([65 <= b <= 90 for b in head]), mean([not letter(b) for b in head])]
+            + [mean([not letter(b) for b in tail]), mean([s == 1 for s in size]), mean([s > 14 for s in size]), len(count) / n, max(count.values()) / n, 1]
+        )
+    return out
+
+
+def plain_score(text, p):
+    """Encoder, gated attention and score, passage by passage."""
+    codes, logits = [], []
+    for x in plain_passages(text):
+        z = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, p["mean"], p["std"], strict=True)]
+        h = [math.tanh(sum(a * b for a, b in zip(z, col, strict=True)) + c) for col, c in zip(p["e"].T, p["eb"], strict=True)]
+        dot = lambda m: [sum(a * b for a, b in zip(h, col, strict=True)) for col in m.T]  # noqa: B023, E731
+        gate = [math.tanh(a) / (1 + math.exp(-b)) for a, b in zip(dot(p["v"]), dot(p["u"]), strict=True)]
+        codes.append(h)
+        logits.append(sum(a * b for a, b in zip(gate, p["a"], strict=True)))
+    weight = [math.exp(s - max(logits)) for s in logits]
+    z = [sum(w * h[k] for w, h in zip(weight, codes, strict=True)) / sum(weight) for k in range(len(codes[0]))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, p["w"], strict=True)) - p["b"][0]))
+
+
+def test_quality_brute_force(spark):
+    """Every score against a plain forward pass of each document."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \t"), (-4, "y" * 5000), (-5, "A b a B " * 300)], "doc_id bigint, text string")
+    rows = docs.union(odd).withColumn("score", F.lit("own")).withColumn("label", F.lit(1))
+    got = quality.score(rows, model, keep_text=True)
+    assert got.columns == ["doc_id", "text", "label", "score"]
+    for r in got.collect():
+        assert math.isclose(r.score, plain_score(r.text, model.params), abs_tol=1e-5)
+
+
 def test_quality_odd(spark):
     rows = [(1, None), (2, ""), (None, "word " * 9), (3, "\t\n"), (4, "y" * 100000), (4, "y" * 100000)]
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, x string")
