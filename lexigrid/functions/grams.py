@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from lexigrid.functions.text import letters
 
 
-def grams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, joined by a space; fewer than n tokens give none.
-
-    The guard stands inside the expression: as a filter it would be pushed
-    below the projection and the normalization would run twice."""
-    count = F.size(tokens) - (n - 1)
-    run = lambda i: F.concat_ws(" ", *[tokens[i + k] for k in range(n)])
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), run)).otherwise(
-        F.array().cast("array<string>")
-    )
+def grams(tokens: Column, n: int, sep: str = " ") -> Column:
+    """All runs of n tokens, joined by ``sep``; fewer than n tokens give none.
+
+    The tokens are bound to a lambda's variable, because what a lambda takes
+    from outside is computed again for each of its elements."""
+
+    def runs(t: Column) -> Column:
+        firsts = F.slice(t, 1, F.greatest(F.size(t) - (n - 1), F.lit(0)))
+        return F.transform(firsts, lambda w, i: F.concat(w, *[x for k in range(1, n) for x in (*[F.lit(sep)] * bool(sep), t[i + k])]))
+
+    return F.coalesce(F.get(F.transform(F.array(tokens), runs), F.lit(0)), F.array().cast("array<string>"))
 
 
 def word_grams(normalized: Column, n: int) -> Column:

@@ -72,7 +72,7 @@ def letters(normalized: Column) -> Column:
 
 def chars(normalized: Column) -> Column:
     """The letters of a normalized text, in order, across word boundaries."""
-    return F.regexp_extract_all(normalized, F.lit("([a-z])"), 1)
+    return F.array_remove(F.split(letters(normalized), ""), "")
 
 
 def char_class(ch: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.functions.grams import char_grams, grams, spaced, word_grams
+from lexigrid.functions.grams import char_grams, grams, word_grams
 from lexigrid.functions.text import FOLD_FROM, FOLD_TO, char_class, chars, clean, normalize, words
 from lexigrid.operators import compare as C
 from lexigrid.operators import counting as K
@@ -146,18 +146,30 @@ def all_by_lang(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def programs(s: SparkSession, d: str) -> DataFrame:
-    """Three formulations of the four counts as three programs: batches of
-    arrays, regex scans and token arrays."""
+    """(program, kind, total_unique) of three formulations of the four counts
+    as three programs: batches of arrays, regex scans and token arrays. Each
+    finds all its n-grams; a row of the one exchange is an n-gram with a bit
+    for each program that found it. As in the SQL, the token arrays have no
+    row of a kind without n-grams."""
     p = prepared(s, d)
     norm = F.col("norm")
-    forms = {"array": lambda t, n: grams((words if t == "word" else chars)(norm), n), "regex": lambda t, n: (word_grams if t == "word" else char_grams)(norm, n)}
-    out = K.summary(K.count_all(p)).select(F.lit("batch").alias("program"), "kind", "total_unique")
-    for name, form in forms.items():
-        for kind, (t, n) in K.TABLES.items():
-            text = spaced(F.col("g")) if (name, t) == ("regex", "char") else F.col("g")
-            unique = p.select(F.explode(form(t, n)).alias("g")).distinct().select(text.alias("g")).distinct()
-            out = out.union(unique.agg(F.count("*").alias("total_unique")).select(F.lit(name), F.lit(kind), "total_unique"))
-    return out
+    bit = {"batch": 1, "array": 2, "regex": 4}
+    none = F.array().cast("array<string>")
+    forms, sets = [], []
+    for kind, (t, n) in K.TABLES.items():
+        forms += [grams(words(norm), n).alias(f"a_{kind}"), word_grams(norm, n).alias(f"r_{kind}")] if t == "word" else [grams(chars(norm), n, "").alias(f"a_{kind}"), char_grams(norm, n).alias(f"r_{kind}")]
+        a, r = F.col(f"a_{kind}"), F.col(f"r_{kind}")
+        for bits, same, other in ((bit["array"] | bit["regex"], F.array_distinct(a), F.array_intersect(a, r)), (bit["array"], none, F.array_except(a, r)), (bit["regex"], none, F.array_except(r, a))):
+            sets.append(F.struct(F.lit(kind).alias("kind"), F.lit(bits).alias("bits"), F.when(a == r, same).otherwise(other).alias("grams")))
+    found = p.select(*forms).select(F.explode(F.array(*sets)).alias("x")).select("x.kind", F.explode("x.grams").alias("ngram"), "x.bits")
+    batches = K.count_batches(p, *[(k, *v) for k, v in K.TABLES.items()])
+    compact = F.when(F.col("kind").startswith("char"), F.replace("ngram", F.lit(" "), F.lit(""))).otherwise(F.col("ngram"))
+    rows = found.union(batches.select("kind", compact, F.lit(bit["batch"])))
+    each = rows.groupBy("kind", "ngram").agg(F.bit_or("bits").alias("bits")).groupBy("kind").agg(*[F.count_if(F.col("bits").bitwiseAND(b) > 0).alias(k) for k, b in bit.items()])
+    kinds = s.range(1).select(F.explode(F.array(*map(F.lit, K.TABLES))).alias("kind"))
+    total = F.explode(F.array(*[F.struct(F.lit(k).alias("program"), F.coalesce(k, F.lit(0)).alias("total_unique")) for k in bit]))
+    out = kinds.join(each, "kind", "left").select("kind", total.alias("x")).select("x.program", "kind", "x.total_unique")
+    return out.where("program <> 'array' or total_unique > 0")
 
 
 # The four counts in two formulations: lists of n-grams, and tokens with those after them.

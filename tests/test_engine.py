@@ -1,15 +1,19 @@
 """Golden file, edge cases, properties, round trips, streaming."""
 
+import random
 import re
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.functions.grams import grams
 from lexigrid.functions.text import clean, normalize, words
 from lexigrid.operators.counting import TABLES, count_all, count_ngrams, prepare, summary
-from lexigrid.operators.compare import compare
+from lexigrid.operators.compare import agreement, compare
 from lexigrid.operators.sinks import report, write_exact, write_stats, write_stats_text
+from lexigrid.plans.catalog import catalog, programs
 from lexigrid.plans.job import run_job
 from lexigrid.sources import corpus
 from lexigrid.streaming.counts import running_counts
@@ -175,3 +179,23 @@ def test_normalize_all_ascii(spark):
             else:
                 want = ""
             assert r.n == want, (punct, c)
+
+
+def test_programs_on_long_texts(spark, tmp_path):
+    """Token arrays take time in proportion to a text: this one took minutes
+    when the tokens were computed again for each n-gram."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "cat", "é-a", "x2y", "Sat"], k=15_000)), "one two", "a", "", None]
+    write = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    write(texts)
+    began = time.time()
+    got = programs(spark, str(tmp_path)).collect()
+    assert time.time() - began < 60
+    want = {r.kind: r.total_unique for r in summary(count_all(prepare(spark.read.parquet(f"{tmp_path}/documents.parquet")))).collect()}
+    assert {(r.program, r.kind): r.total_unique for r in got} == {(p, k): n for p in ("array", "batch", "regex") for k, n in want.items()}
+    # no n-gram at all: the rows of the SQL
+    write(["", None])
+    sql = catalog()["program_agreement"][1]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, agreement(programs(spark, str(tmp_path))).collect())) == sorted(con.execute(sql).fetchall())
