@@ -27,7 +27,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import Scratch, free_shuffles, input_bytes, pieces
+from lexigrid.llm.common import Scratch, bound_bytes, free_shuffles, give_back, input_bytes, pieces
 from lexigrid.llm.spans import POLY, U64, Words, flat, mix, slices
 
 #: Size of a filter that is broadcast: 64 MB. A larger one is joined.
@@ -41,8 +41,9 @@ REGION_BYTES = 8 << 20
 BROADCAST_VOCAB = 4_000_000
 #: Tokens counted in one buffer before they are sent.
 BUFFER = 1_000_000
-#: Tokens of a chunk of documents that is scored by a join.
-CHUNK = 700_000
+#: Tokens of a chunk of documents that is scored by a join, and n-grams that
+#: a region looks up at once.
+CHUNK = 250_000
 #: Weight of the unigram estimate against a context's count; most bigrams of a
 #: new text are unseen, so it is large.
 KAPPA = 100.0
@@ -190,8 +191,10 @@ def count_rows(regions: int):
                 if size >= BUFFER:
                     yield from send(buffer)
                     buffer, size = [], 0
+                    give_back()
         if buffer:
             yield from send(buffer)
+        give_back()
 
     return run
 
@@ -208,6 +211,7 @@ def train(docs: DataFrame, filter_bits: int = FILTER_BITS, regions: int | None =
     scratch = Scratch(spark, "lm")
 
     def merge(table: pa.Table) -> pa.Table:
+        give_back()  # what the region before took
         region = table.column("region")[0].as_py()
         keys, counts = [], []
         out = {k: np.zeros(0, t) for k, t in (("h", U64), ("c", np.int64), ("u", U64), ("m", np.float64))}
@@ -377,10 +381,20 @@ def ask_rows(regions: int):
                         for k, v in (("chunk", chunk), ("region", int(r)), ("kind", kind), ("keys", (low if kind else u)[at].tobytes()), ("more", mid[at].tobytes() if kind else b"")):
                             out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("region", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())]))
+                give_back()
 
     return run
 
 
+def blocks(size: np.ndarray, limit: int) -> Iterator[slice]:
+    """Runs of rows of about ``limit`` keys in all (a larger row stands alone)."""
+    total, start = np.cumsum(size), 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + limit, "right")))
+        yield slice(start, end)
+        start = end
+
+
 def score_by_regions(docs: DataFrame, model: Model, kappa: float) -> DataFrame:
     """score() where the filter or the words are too many to broadcast. Chunks
     of documents send their distinct n-grams to the regions and get back the
@@ -393,47 +407,56 @@ def score_by_regions(docs: DataFrame, model: Model, kappa: float) -> DataFrame:
     exact = {"c": np.int64, "m": np.float64}
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"chunk": [], "region": [], "kind": [], "level": [], "c": [], "m": []}
+        give_back()
+        out: dict[str, list] = {k: [] for k in ("chunk", "region", "kind", "level", *exact)}
         bits = np.frombuffer(own.column("bits")[0].as_py() if own.num_rows else b"", np.uint8)  # a region of no training n-gram has no row
         lm = Filter(bits, np.array([8 * len(bits)]))
         listed = own.num_rows > 0 and own.column("h")[0].as_py() is not None
         words = own.column("h")[0].values.to_numpy() if listed else np.zeros(0, np.int64)
-        for x in asked.to_pylist():
-            if x["kind"]:
-                h = np.frombuffer(x["keys"], np.uint32).astype(U64) | np.frombuffer(x["more"], np.uint8).astype(U64) << U64(32)
-            else:
-                h = np.frombuffer(x["keys"], U64)
-            level = lm.levels(U64(x["region"]) << LOW_BITS | h & U64((1 << 40) - 1), np.zeros(len(h), np.int64))
-            found = {k: np.zeros(0 if x["kind"] else len(h), t) for k, t in exact.items()}
-            if not x["kind"] and len(words):
-                signed = h.astype(np.int64)
-                at = np.minimum(np.searchsorted(words, signed), len(words) - 1)
-                found = {k: np.where(words[at] == signed, own.column(k)[0].values.to_numpy()[at], 0).astype(t) for k, t in exact.items()}
-            for k, v in (("chunk", x["chunk"]), ("region", x["region"]), ("kind", x["kind"]), ("level", level.astype(np.uint8).tobytes()), *[(k, v.tobytes()) for k, v in found.items()]):
-                out[k].append(v)
+        for kind in (0, 1):
+            rows = asked.filter(pa.array(asked.column("kind").to_numpy() == kind))
+            width = 4 if kind else 8
+            size = np.array([len(x.as_py()) // width for x in rows.column("keys")], np.int64)
+            for part in blocks(size, CHUNK):  # many chunks' keys at once
+                some = rows.slice(part.start, part.stop - part.start)
+                read = lambda c, t: np.frombuffer(b"".join(some.column(c).to_pylist()), t)  # noqa: B023, E731
+                h = read("keys", np.uint32 if kind else U64).astype(U64)
+                if kind:
+                    h |= read("more", np.uint8).astype(U64) << U64(32)
+                region = some.column("region")[0].as_py()
+                got = {"level": lm.levels(U64(region) << LOW_BITS | h & U64((1 << 40) - 1), np.zeros(len(h), np.int64)).astype(np.uint8)}
+                if not kind:
+                    signed = h.astype(np.int64)
+                    at = np.minimum(np.searchsorted(words, signed), max(len(words) - 1, 0))
+                    known = words[at] == signed if len(words) else None
+                    got |= {k: np.where(known, own.column(k)[0].values.to_numpy()[at], 0).astype(t) if len(words) else np.zeros(len(h), t) for k, t in exact.items()}
+                cut = np.append(0, np.cumsum(size[part]))
+                for k in exact.keys() | {"level"}:
+                    out[k] += [got[k][i:j].tobytes() if k in got else b"" for i, j in zip(cut, cut[1:], strict=False)]
+                for k in ("chunk", "region", "kind"):
+                    out[k] += some.column(k).to_pylist()
         return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("region", pa.int32()), ("kind", pa.int32()), *[(k, pa.binary()) for k in ("level", "c", "m")]]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, answers in zip(b.column(0), b.column(1), strict=True):
-                table, tok, row = chunk_tokens(chunk.as_py())
-                got = answers.as_py()  # by kind and region, which is the order of the hashes
-                read = lambda k, c, t: np.frombuffer(b"".join(x[c] for x in got if x["kind"] == k), t)  # noqa: B023, E731
-                u, inv = np.unique(tok, return_inverse=True)
-                _, pair_inv = np.unique(bigrams(tok), return_inverse=True)
-                one, two = read(0, "level", np.uint8).astype(np.int64)[inv], read(1, "level", np.uint8).astype(np.int64)[pair_inv]
-                c, m = read(0, "c", np.int64).astype(np.float64)[inv], read(0, "m", np.float64)
-                after = np.append(m[np.searchsorted(u, END)], m[inv][:-1])
-                sums = lambda w: np.bincount(row, weights=w, minlength=table.num_rows)  # noqa: B023, E731
-                n_tokens = np.bincount(row, minlength=table.num_rows).astype(np.int64)
-                more = [pa.array(n_tokens), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(np.log10((c + 1) / total))), pa.array(sums(log_probs(two, one, after, kappa, mass)))]
-                named = [table.column(k).combine_chunks() for k in kept]
-                yield pa.RecordBatch.from_arrays([*named, *more], [*kept, *ADDED])
-
+    def result(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
+        table, tok, row = chunk_tokens(chunk.column("rows")[0].as_py())
+        answers = answers.sort_by([("kind", "ascending"), ("region", "ascending")])  # the order of the hashes
+        of = answers.column("kind").to_numpy()
+        read = lambda k, c, t: np.frombuffer(b"".join(answers.column(c).filter(pa.array(of == k)).to_pylist()), t)
+        u, inv = np.unique(tok, return_inverse=True)
+        two = read(1, "level", np.uint8)[np.unique(bigrams(tok), return_inverse=True)[1]].astype(np.int64)
+        one = read(0, "level", np.uint8)[inv].astype(np.int64)
+        c, m = read(0, "c", np.int64).astype(np.float64)[inv], read(0, "m", np.float64)
+        after = np.append(m[np.searchsorted(u, END)], m[inv][:-1])
+        sums = lambda w: np.bincount(row, weights=w, minlength=table.num_rows)
+        n_tokens = np.bincount(row, minlength=table.num_rows).astype(np.int64)
+        more = [pa.array(n_tokens), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(np.log10((c + 1) / total))), pa.array(sums(log_probs(two, one, after, kappa, mass)))]
+        return pa.Table.from_arrays([*[table.column(k) for k in kept], *more], names=[*kept, *ADDED])
+
+    bound_bytes(spark)
     chunks = scratch.save(docs.mapInArrow(chunk_rows(), "chunk bigint, rows binary"))
     asked = chunks.mapInArrow(ask_rows(regions), "chunk bigint, region int, kind int, keys binary, more binary")
     answers = asked.groupBy("region").cogroup(model.tables.groupBy("region")).applyInArrow(answer, "chunk bigint, region int, kind int, level binary, c binary, m binary")
     answers = scratch.save(answers)
     free_shuffles(spark)
-    listed = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "region", "level", "c", "m"))).alias("answers"))
-    return chunks.join(listed, "chunk").select("rows", "answers").mapInArrow(run, schema_of(docs))
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(result, schema_of(docs))

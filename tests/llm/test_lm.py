@@ -152,3 +152,40 @@ def test_no_ngram_left_out(spark):
     apart = sum(abs(got[i].score - w.score) for i, w in want.items())
     assert apart <= 0.01 * sum(w.n_tokens for w in want.values())
     assert lm.score(docs.limit(0), model).count() == 0
+
+
+def test_joined_scores_in_small_pieces(spark, monkeypatch):
+    """Chunks, look-ups and Arrow batches are bounded, and workers give freed
+    memory back; none of it changes a score."""
+    rows = [(str(i), x) for i, x in zipf_rows(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(2)
+    _, _, want = model_of([x for _, x in rows])
+    monkeypatch.setattr(lm, "CHUNK", 1000)
+    model = lm.train(docs, filter_bits=0, entry_bits=200)
+    scored = lm.score(docs, model)
+    # no list of a chunk's answers is gathered inside the JVM
+    assert "collect_list" not in scored._jdf.queryExecution().toString()
+    assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= 4 << 20
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert len(got) == len(rows)
+    for i, x in rows:
+        assert math.isclose(got[i], want(x), rel_tol=1e-7)
+
+
+def test_blocks():
+    cut = lambda size, limit: [(b.start, b.stop) for b in lm.blocks(np.array(size, np.int64), limit)]
+    assert cut([], 5) == []
+    assert cut([2, 2, 2, 9, 0, 5], 5) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+
+
+def test_worker_gives_memory_back():
+    """Freed memory leaves the process."""
+    import psutil
+
+    own = psutil.Process()
+    held = [bytes(100_000) + bytes([i % 256]) for i in range(2000)]
+    last = bytes(1000)  # stands above, so that the heap can't shrink by itself
+    full = own.memory_info().rss
+    del held
+    lm.give_back()
+    assert last and own.memory_info().rss < full - 150_000_000
