@@ -322,6 +322,27 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 40, 10**6])
+def test_components_few_edges(spark, monkeypatch, most):
+    """The same components whether rounds or one task end the search; a small
+    graph, whatever its shape, takes a handful of jobs."""
+    monkeypatch.setattr(graph, "TASK_EDGES", most, raising=False)
+    r = random.Random(5)
+    ids = [r.randint(-(1 << 62), 1 << 62) for _ in range(300)]
+    edges = spark.createDataFrame([(ids[k], ids[k + 1]) for k in range(299) if k % 100 != 99] + [(ids[7], ids[7]), (None, ids[3])], "a bigint, b bigint").repartition(4).cache()
+    edges.count()
+    sc, group = spark.sparkContext, f"components {most}"
+    sc.setJobGroup(group, group)
+    try:
+        got = {x.node: x.component for x in graph.components(edges).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: min(ids[k - k % 100 : k - k % 100 + 100]) for k, i in enumerate(ids)}
+    if most >= 300:
+        assert jobs <= 8, jobs
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     bags = np.array([1, 3, 2, 5])
